@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _starts(batch: pa.Table, keys: Sequence[str]) -> np.ndarray:
+def group_starts(batch: pa.Table, keys: Sequence[str]) -> np.ndarray:
     """True where the key differs from the row before (NULL equals NULL)."""
     n = batch.num_rows
     new = np.zeros(n, bool)
@@ -45,7 +45,7 @@ class _Replay:
         self.keys, self.columns = list(keys), list(columns)
 
     def _settle(self, t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-        starts = np.flatnonzero(_starts(t, self.keys))
+        starts = np.flatnonzero(group_starts(t, self.keys))
         ends = np.append(starts[1:], t.num_rows) - 1
         put = t.column("_put").combine_chunks().to_numpy(zero_copy_only=False).astype(bool)
         deleted = _last_true(~put, ends, starts)
@@ -83,7 +83,7 @@ class _Replay:
                 continue
             t = pa.Table.from_batches([batch])
             t = pa.concat_tables([carry, t]) if carry is not None else t
-            at = int(np.flatnonzero(_starts(t, self.keys))[-1])
+            at = int(np.flatnonzero(group_starts(t, self.keys))[-1])
             if at:
                 yield from act(t.slice(0, at)).combine_chunks().to_batches()
             carry = self.combine(t.slice(at))
