@@ -68,20 +68,27 @@ PATTERNS = {
 
 def pattern_of(fmt: str) -> str:
     """A format's marks in Spark's pattern language; other text quoted."""
-    out, i = [], 0
+    out, text, i = [], "", 0
+
+    def close() -> None:
+        nonlocal text
+        if text:
+            out.append("'" + text.replace("'", "''") + "'")
+        text = ""
+
     while i < len(fmt):
-        c = fmt[i]
-        if c == "%" and i + 1 < len(fmt):
+        if fmt[i] == "%" and i + 1 < len(fmt):
             i += 1
-            out.append(PATTERNS.get(fmt[i]) or _quoted("%" if fmt[i] == "%" else "%" + fmt[i]))
+            if fmt[i] in PATTERNS:
+                close()
+                out.append(PATTERNS[fmt[i]])
+            else:
+                text += "%" if fmt[i] == "%" else "%" + fmt[i]
         else:
-            out.append(_quoted(c))
+            text += fmt[i]
         i += 1
-    return "".join(out).replace("''", "") if "''" in "".join(out) and "''''" not in "".join(out) else "".join(out)
-
-
-def _quoted(text: str) -> str:
-    return "''" if text == "'" else f"'{text}'" if text.isalpha() or "%" in text else text
+    close()
+    return "".join(out)
 
 
 def date_format(d: Column, fmt: str) -> Column:
