@@ -7,9 +7,19 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from larkspur.session import ship
+
 Build = Callable[[SparkSession, str], DataFrame]
 
 
+def _shipped(build: Build) -> Build:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        ship(spark)
+        return build(spark, folder)
+
+    return run
+
+
 @dataclass
 class Registry:
     queries: dict[str, Build] = field(default_factory=dict)
@@ -21,7 +31,7 @@ class Registry:
         def register(build: Build) -> Build:
             if name in self.queries:
                 raise ValueError(f"query {name} is registered twice")
-            self.queries[name] = build
+            self.queries[name] = _shipped(build)
             if oracle is not None:
                 self.oracles[name] = oracle
             return build
