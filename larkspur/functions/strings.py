@@ -52,7 +52,7 @@ def elt(n: Column, *options: Column) -> Column:
 def char_of(*points: Column) -> Column:
     """Text of the code points, not reduced to one byte each."""
     return F.concat(
-        *[F.decode(F.unhex(F.lpad(F.hex(p.cast("bigint")), 8, "0")), "UTF-32BE") for p in points]
+        *[F.decode(F.unhex(F.lpad(F.hex(p.cast("bigint")), 8, "0")), "utf-32") for p in points]
     )
 
 

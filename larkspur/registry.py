@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from larkspur.session import ship
 
+NAMED = re.compile(r"\{(\w+)\}")
 Build = Callable[[SparkSession, str], DataFrame]
 
 
@@ -38,11 +40,12 @@ class Registry:
 
         return register
 
-    def sql(self, name: str, spark_sql: str, oracle: str | None = None, tables: tuple[str, ...] = ()) -> None:
-        """Register a query given as Spark SQL over the named tables; ``oracle``
-        defaults to the same text."""
+    def sql(self, name: str, text: str, oracle: str | None = None) -> None:
+        """Register a query given as Spark SQL in which ``{table}`` names a table of the
+        data folder; ``oracle`` defaults to the same text."""
+        tables = sorted(set(NAMED.findall(text)))
 
         def build(spark: SparkSession, folder: str) -> DataFrame:
-            return spark.sql(spark_sql, **{t: spark.read.parquet(f"{folder}/{t}.parquet") for t in tables})
+            return spark.sql(text, **{t: spark.read.parquet(f"{folder}/{t}.parquet") for t in tables})
 
-        self.add(name, oracle if oracle is not None else spark_sql.replace("{", "").replace("}", ""))(build)
+        self.add(name, oracle if oracle is not None else NAMED.sub(r"\1", text))(build)
