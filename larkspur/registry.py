@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.session import ship
+from larkspur.session import ship, table
 
 NAMED = re.compile(r"\{(\w+)\}")
 Build = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,6 @@ class Registry:
         tables = sorted(set(NAMED.findall(text)))
 
         def build(spark: SparkSession, folder: str) -> DataFrame:
-            return spark.sql(text, **{t: spark.read.parquet(f"{folder}/{t}.parquet") for t in tables})
+            return spark.sql(text, **{t: table(spark, folder, t) for t in tables})
 
         self.add(name, oracle if oracle is not None else NAMED.sub(r"\1", text))(build)

@@ -36,8 +36,13 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One Parquet table of a data folder."""
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """One Parquet table of a data folder. Its schema is kept with the session, so only
+    the first query of a table reads footers before it starts."""
+    path = f"{folder}/{name}.parquet"
+    known = spark.__dict__.setdefault("_larkspur_schemas", {})
+    if path not in known:
+        known[path] = spark.read.parquet(path).schema
+    return spark.read.schema(known[path]).parquet(path)
 
 
 def shuffle_width(spark: SparkSession) -> int:
