@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import codecs
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
@@ -39,6 +40,8 @@ MARGIN_KNOWN, MARGIN, MARGIN_PAGE = 2.0, 7.0, 14.0
 CACHE = 1 << 20
 MARKS = re.compile("[�\x80-\x84\x86-\x9f]")
 
+#: Letters of two alphabets side by side, which no restored word has.
+MIXED = re.compile("[A-Za-zÀ-ɏ][Ѐ-ӿ]|[Ѐ-ӿ][A-Za-zÀ-ɏ]")
 LETTERS = re.compile(r"[^\W\d_]+")
 
 U = "utf-8"
@@ -254,6 +257,15 @@ def _outdone(held: Counter) -> set[str]:
     return out
 
 
+def _rightful() -> list[str]:
+    """Rare characters that are right by themselves: letters with marks, Greek, Cyrillic,
+    punctuation, currencies, arrows, mathematical signs, box drawing. A sample may lack
+    them, and what was never seen would otherwise pass for garbled."""
+    blocks = ((0xA1, 0x180), (0x370, 0x460), (0x2010, 0x2060), (0x2070, 0x2200), (0x2200, 0x2300), (0x2500, 0x2600))
+    chars = [chr(c) for a, b in blocks for c in range(a, b) if unicodedata.category(chr(c))[0] in "LNPS"]
+    return [*chars, *(c + c for c in chars), *(f"a{c}" for c in chars), *(f"{c}a" for c in chars)]
+
+
 def train(texts: list[str]) -> Classifier:
     """Classifier from a bounded sample of texts, most of them clean; those that look
     garbled by rule are left out. A word weighs by the documents that hold it, so the
@@ -261,7 +273,7 @@ def train(texts: list[str]) -> Classifier:
     docs = [d for t in texts if (d := set(_words(t))) and not any(map(MARKS.search, d))]
     outdone = _outdone(Counter(w for d in docs for w in d))
     held = Counter(w for d in docs if not d & outdone for w in d)
-    clean = {w: min(n, WEIGHT) for w, n in sorted(held.items())}
+    clean = {w: 1 for w in _rightful()} | {w: min(n, WEIGHT) for w, n in sorted(held.items())}
     classes: list[dict[str, int]] = []
     for chain in CHAINS:
         made: dict[str, int] = {}
@@ -296,7 +308,7 @@ class Judge:
                 if scores[i, c] <= base[i] - 2:
                     break
                 found = invert_within(w, CHAINS[c])
-                if found is not None and not MARKS.search(found[1]):
+                if found is not None and not MARKS.search(found[1]) and not MIXED.search(found[1]):
                     tries.append((i, c, *found))
         before = self.model.clean([t[2] for t in tries])
         after = self.model.clean([t[3] for t in tries])

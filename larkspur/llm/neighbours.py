@@ -127,7 +127,8 @@ def _exact(metric: int, q: np.ndarray, c: np.ndarray) -> np.ndarray:
     dot = (c * q).sum(2)
     if metric == INNER:
         return -dot
-    return 1 - dot / (np.sqrt((q * q).sum(2)) * np.sqrt((c * c).sum(2)))
+    d = 1 - dot / (np.sqrt((q * q).sum(2)) * np.sqrt((c * c).sum(2)))
+    return np.where(d < 1e-12, 0.0, d)  # equal directions, not rounding, decide ties
 
 
 def _best(metric: int, ids: np.ndarray, x: np.ndarray, asks: np.ndarray, data: np.ndarray, k: int):
@@ -261,22 +262,22 @@ def forest_neighbours(
     )
     classes = (
         kept.groupBy(*same)
-        .agg(F.min("vec_id").alias("_first"), F.max("vec_id").alias("_last"), F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") == k + 1)
+        .agg(F.min("vec_id").alias("_first"), F.max("vec_id").alias("_last"), F.collect_list("vec_id").alias("_own"))
+        .where(F.size("_own") == k + 1)
     )
     more = (
-        points.select("vec_id", "vectors", *same)
+        points.select("vec_id", *same)
         .join(classes, same)
         .where(F.col("vec_id") > F.col("_last"))
-        .select(F.col("vec_id").alias("_copy"), "_first", F.col("metric").alias("_m"), "vectors")
+        .select(F.col("vec_id").alias("_copy"), "_first", "_own")
     )
-    own = F.when(
-        F.col("_m") == INNER,
-        -F.aggregate("vectors", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")),
-    ).otherwise(F.lit(0.0))
-    itself = F.array(F.struct(own.alias("d"), F.col("_first").alias("id")))
+    # The smallest copy is as far from the others as these are from it; if none of them
+    # is in its list, neither does it belong into theirs.
+    twins = F.filter("near", lambda x: F.array_contains("_own", x["id"]))
+    itself = F.array(F.struct(twins[0]["d"].alias("d"), F.col("_first").alias("id")))
+    extended = F.when(F.size(twins) > 0, F.array_sort(F.concat(itself, "near"))).otherwise(F.col("near"))
     copies = more.join(near, more["_first"] == near["vec_id"]).select(
-        F.col("_copy").alias("vec_id"), F.slice(F.array_sort(F.concat(itself, "near")), 1, k).alias("near")
+        F.col("_copy").alias("vec_id"), F.slice(extended, 1, k).alias("near")
     )
     return near.unionByName(copies)
 
