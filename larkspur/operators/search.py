@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions import vectors
+from larkspur.functions import stemming, vectors
 
 DISTANCES = {"l2": vectors.l2_squared, "cosine": vectors.cosine_distance, "inner": vectors.negative_inner}
 
@@ -25,11 +25,12 @@ def terms_of(query: str) -> list[str]:
 
 def match_score(columns: Sequence[Column], query: str, stem: bool = False) -> Column:
     """MATCH ... AGAINST: how many of the query's terms are there, repeats counted. NULL
-    columns are empty. ``stem`` takes the plural and verb endings off on both sides."""
+    columns are empty. ``stem`` compares the stems of English words on both sides, which
+    costs a pass through Python; without it everything stays in generated code."""
     words = tokens(F.concat_ws(" ", *columns))
     terms = terms_of(query)
     if stem:
-        words, terms = F.transform(words, stem_column), [stem_word(t) for t in terms]
+        words, terms = stemming.stems(words), [stemming.stem(t) for t in terms]
     score = F.lit(0)
     for t in terms:
         score = score + F.array_contains(words, t).cast("int")
@@ -53,32 +54,11 @@ def match_boolean(columns: Sequence[Column], query: str) -> Column:
     return F.when(ok, score).otherwise(0).cast("bigint")
 
 
-#: Endings taken off, longest first, with what replaces them.
-ENDINGS = (("ational", "ate"), ("ization", "ize"), ("fulness", "ful"), ("ousness", "ous"), ("iveness", "ive"),
-           ("ingly", ""), ("edly", ""), ("sses", "ss"), ("ies", "i"), ("ing", ""), ("ed", ""), ("ly", ""), ("s", ""))
-
-
-def stem_word(word: str) -> str:
-    for ending, new in ENDINGS:
-        if word.endswith(ending) and len(word) - len(ending) >= 3 and not word.endswith("ss"):
-            return word[: len(word) - len(ending)] + new
-    return word
-
-
-def stem_column(word: Column) -> Column:
-    out = word
-    for ending, new in reversed(ENDINGS):
-        fits = word.endswith(ending) & (F.char_length(word) >= len(ending) + 3) & ~word.endswith("ss")
-        out = F.when(fits, F.concat(F.substring(word, F.lit(1), F.char_length(word) - len(ending)), F.lit(new))).otherwise(
-            out
-        )
-    return out
-
-
-def postings(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+def postings(df: DataFrame, key: str, columns: Sequence[str], stem: bool = False) -> DataFrame:
     """Inverted index: ``term``, ``key``, each pair once. Write it partitioned or bucketed
     by term for lookups."""
-    words = F.array_distinct(tokens(F.concat_ws(" ", *columns)))
+    words = tokens(F.concat_ws(" ", *columns))
+    words = F.array_distinct(stemming.stems(words) if stem else words)
     return df.select(F.explode(words).alias("term"), F.col(key))
 
 

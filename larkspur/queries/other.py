@@ -113,6 +113,15 @@ def register(registry: Registry) -> None:
         index = search.postings(table(spark, folder, "documents"), "doc_id", ["text"])
         return search.lookup(index, "doc_id", "gripper felt")
 
+    @registry.add(
+        "match_stemmed",
+        f"SELECT doc_id, CAST(2 AS BIGINT) AS score FROM (SELECT doc_id, {WORDS} AS w FROM documents) "
+        "WHERE (list_contains(w, 'rotor') OR list_contains(w, 'rotors')) AND (list_contains(w, 'valve') OR list_contains(w, 'valves'))",
+    )
+    def _(spark, folder) -> DataFrame:
+        score = search.match_score([F.col("text")], "rotors valves", stem=True)
+        return table(spark, folder, "documents").select("doc_id", score.alias("score")).where("score = 2")
+
     for metric, distance in (
         ("l2", L2),
         ("cosine", f"1 - list_cosine_similarity({VECTOR}, {SQL_QUERY})"),

@@ -139,11 +139,26 @@ def test_search(spark):
     assert [r.id for r in search.knn(docs, "v", [1.0, 0.1], 5, "id").collect()] == [2, 1]
     ranks = {r.id: r.score for r in search.hybrid(docs, "id", ["body"], "hen", "v", [1.0, 0.0]).collect()}
     assert ranks == {1: pytest.approx(1 / 61 + 1 / 62), 2: pytest.approx(1 / 61)}
-    assert [search.stem_word(w) for w in ("foxes", "relational", "running", "pass")] == ["foxe", "relate", "runn", "pass"]
+    stemmed = search.match_score([F.col("body")], "foxes hens", stem=True)
+    assert [r[0] for r in docs.orderBy("id").select(stemmed).collect()] == [2, 1, 0, 0]
     index = search.postings(docs, "id", ["body"])
     assert {r.id: r.score for r in search.lookup(index, "id", "red fox").collect()} == {1: 2, 2: 1}
 
 
+STEMS = """consigned consign consistency consist knackeries knackeri knightly knight generously generous happy happi
+skies sky dying die running run hopping hop hoped hope relational relat conditional condit rational ration
+digitizer digit predication predic operator oper feudalism feudal decisiveness decis hopefulness hope
+callousness callous sensitivity sensit sensibility sensibl communication communic ties tie cries cri gas gas
+gaps gap kiwis kiwi agreed agre succeed succeed adoption adopt controlling control sleepily sleepili""".split()
+
+
+def test_stems():
+    from larkspur.functions.stemming import stem
+
+    pairs = dict(zip(STEMS[::2], STEMS[1::2]))
+    assert {w: stem(w) for w in pairs} == pairs
+
+
 def test_table_changes(spark):
     base = spark.createDataFrame([(1, "a"), (2, "b"), (None, "n")], "k int, v string")
     new = spark.createDataFrame([(2, "x"), (2, "y"), (3, "z"), (None, "m")], "k int, v string")
