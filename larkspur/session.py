@@ -75,3 +75,11 @@ def ship(spark: SparkSession) -> None:
             out.write(source, source.relative_to(root.parent))
     context.addPyFile(str(archive))
     context._larkspur_sent = True
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over at least one partition a core, for scans that feed heavy Arrow stages. A
+    table of many files or blocks is left as it is read; only one that is read in fewer
+    pieces than there are cores is shuffled first."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
