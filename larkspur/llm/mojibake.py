@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.codepoints import Slab, Slices
 from larkspur.llm.tokens import _slabs
+from larkspur.session import spread
 
 #: Documents, and characters of each, that the classifier is trained on at most.
 TRAIN_DOCS, TRAIN_CHARS = 3000, 6000
@@ -42,6 +43,7 @@ MARKS = re.compile("[�\x80-\x84\x86-\x9f]")
 
 #: Letters of two alphabets side by side, which no restored word has.
 MIXED = re.compile("[A-Za-zÀ-ɏ][Ѐ-ӿ]|[Ѐ-ӿ][A-Za-zÀ-ɏ]")
+C1 = re.compile("[\x80-\x9f]")
 LETTERS = re.compile(r"[^\W\d_]+")
 
 U = "utf-8"
@@ -115,21 +117,24 @@ def write(text: str, encoding: str) -> bytes:
     """Bytes of ``text``; UnicodeError if it can't be written so."""
     if encoding.startswith("lower-"):
         return write(raised(text), encoding[6:])
-    if encoding in _SINGLE:
-        table, _ = _table(encoding)
-        try:
-            return bytes([table[ord(c)] for c in text])
-        except KeyError as e:
-            raise UnicodeError(str(e)) from None
-    return text.encode(encoding)
+    if encoding not in _SINGLE or not C1.search(text):
+        return text.encode(encoding)
+    table, _ = _table(encoding)
+    try:
+        return bytes([table[ord(c)] for c in text])
+    except KeyError as e:
+        raise UnicodeError(str(e)) from None
 
 
 def read(data: bytes, encoding: str, errors: str = "strict") -> str:
     if encoding.startswith("lower-"):
         return read(data, encoding[6:]).lower()
-    if encoding in _SINGLE:
+    if encoding not in _SINGLE:
+        return data.decode(encoding, errors)
+    try:
+        return data.decode(encoding)
+    except UnicodeDecodeError:
         return data.decode("latin-1").translate(_table(encoding)[1])
-    return data.decode(encoding, errors)
 
 
 def raised(text: str) -> str:
@@ -420,8 +425,9 @@ def find_garbled(df: DataFrame, key: str = "doc_id", text: str = "text", model:
     """``key`` of every row whose text holds garbled characters, be it in one word.
 
     NULL, empty and ASCII texts are no case; a repeated row comes as often as it
-    stands. Whole texts are read. Other columns are ignored. There is no shuffle; the
-    classifier (a table of fixed size) is broadcast.
+    stands. Whole texts are read. Other columns are ignored. There is no shuffle,
+    unless the table is read in fewer pieces than there are cores; the classifier (a
+    table of fixed size) is broadcast.
     """
     model = model or fit(df, key, text)
     shared = df.sparkSession.sparkContext.broadcast(model)
@@ -436,7 +442,7 @@ def find_garbled(df: DataFrame, key: str = "doc_id", text: str = "text", model:
 
     narrow = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("text").rlike(r"[^\x00-\x7f]"))
     kind = narrow.schema["key"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"key {kind}").withColumnRenamed("key", key)
+    return spread(narrow).mapInArrow(run, f"key {kind}").withColumnRenamed("key", key)
 
 
 def restore_garbled(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -467,4 +473,4 @@ def restore_garbled(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     narrow = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("text").rlike(r"[^\x00-\x7f]"))
     kind = narrow.schema["key"].dataType.simpleString()
     schema = f"key {kind}, restored string, chains array<string>, lost long"
-    return narrow.mapInArrow(run, schema).withColumnRenamed("key", key)
+    return spread(narrow).mapInArrow(run, schema).withColumnRenamed("key", key)

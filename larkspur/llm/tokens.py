@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.codepoints import LETTER, OTHER, SPACE, Slab, Slices, classes, ragged
+from larkspur.llm.codepoints import SPACE, Slab, Slices, classes, ragged
+from larkspur.session import spread
 
 #: Where the public vocabularies lie; a parameter of every operator.
 VOCABULARIES = "/opt/tokenizers"
@@ -160,7 +161,8 @@ def encode(
 
     NULL and empty texts give empty lists; rows are kept one for one, also repeated
     ones and those without a key. Columns other than the two named are ignored. A text
-    of any length is encoded whole. There is no shuffle.
+    of any length is encoded whole. There is no shuffle, unless
+    the table is read in fewer pieces than there are cores.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,4 +180,4 @@ def encode(
     narrow = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = narrow.schema["key"].dataType.simpleString()
     schema = f"key {kind}, ids array<int>" + ", offsets array<int>" * offsets
-    return narrow.mapInArrow(run, schema).withColumnRenamed("key", key)
+    return spread(narrow).mapInArrow(run, schema).withColumnRenamed("key", key)
