@@ -187,6 +187,23 @@ def invert_within(word: str, chain: tuple) -> tuple[str, str] | None:
     return None
 
 
+def _stretches(data: bytes, at: int, encoding: str) -> list[tuple[int, int, str | None]]:
+    """(from, to, text) of the stretches of ``data`` from ``at`` on; None for a text that
+    doesn't decode."""
+    out: list[tuple[int, int, str | None]] = []
+    view = memoryview(data)
+    while at < len(data):
+        try:
+            out.append((at, len(data), read(bytes(view[at:]), encoding)))
+            break
+        except UnicodeDecodeError as e:
+            if e.start:
+                out.append((at, at + e.start, read(bytes(view[at : at + e.start]), encoding)))
+            out.append((at + e.start, at + e.end, None))
+            at += e.end
+    return out
+
+
 def _pairs(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed byte pairs of all words end to end (blank at either side), and their starts."""
     data = [b" " + w.encode("utf-8", "surrogatepass") + b" " for w in words]
@@ -297,10 +314,11 @@ class Judge:
         self.model = model
         self.seen: dict[int, bool] = {}
 
-    def words(self, words: list[str]) -> list[tuple[int, str | None] | None]:
+    def words(self, words: list[str], marks: bool = True) -> list[tuple[int, str | None] | None]:
+        """``marks``: a word with marks is a case whatever its chain."""
         out: list = [None] * len(words)
         for i, w in enumerate(words):
-            if MARKS.search(w):
+            if marks and MARKS.search(w):
                 out[i] = (-1, None)
         scores = self.model.scores(words)
         base = scores[:, CLEAN]
@@ -373,16 +391,18 @@ class Judge:
         return flags
 
     def restore(self, text: str) -> tuple[str, list[int], int]:
-        """The text with its garbled words restored, the chains used, and how many words
-        could not be restored."""
+        """The text with its garbled words restored, the chains used, and how many places
+        (words, or within words that don't decode as a whole runs of characters) could
+        not be restored."""
         spans = [m.span() for m in WORD.finditer(text)]
         words = [text[a:b] for a, b in spans]
-        short = [DIGIT.sub("0", w) for w in words]
-        verdicts = self.words(short)
-        known = [v[0] for v in verdicts if v and v[0] >= 0]
-        main = max(set(known), key=known.count) if known else -1
+        verdicts = self.words([DIGIT.sub("0", w) for w in words])
+        parts = self._parts(words, verdicts)
+        known = [v[0] for v in [*verdicts, *parts.values()] if v and v[0] >= 0]
+        main = max(sorted(set(known)), key=known.count) if known else -1
         out, at, lost, used = [], 0, 0, set()
-        for (a, b), w, v in zip(spans, words, verdicts):
+        for i, ((a, b), w, v) in enumerate(zip(spans, words, verdicts)):
+            v = parts.get(i, v)
             # A word too short to be judged follows the chain of the rest of its text.
             if v is None and main >= 0 and self._leans(w, main):
                 v = (main, None)
@@ -390,14 +410,121 @@ class Judge:
                 continue
             chain = v[0] if v[0] >= 0 else main
             fixed = invert(w, CHAINS[chain]) if chain >= 0 else None
+            left = 0
             if fixed is None or MARKS.search(fixed):
-                lost += 1
+                chain, fixed, left = self._fixed(w, v[0], main)
+            lost += left
+            if fixed == w:
                 continue
             used.add(chain)
             out += [text[at:a], fixed]
             at = b
         return "".join([*out, text[at:]]), sorted(used), lost
 
+    def _parts(self, words: list[str], verdicts: list) -> dict[int, tuple[int, None]]:
+        """Verdicts on the words that hold marks, or are too long to be judged whole, by
+        the chain of most of their pieces between U+FFFD."""
+        owner, pieces = [], []
+        for i, (w, v) in enumerate(zip(words, verdicts)):
+            if (v is None and len(w) > PIECE) or (v is not None and v[0] < 0):
+                some = [p for part in w.split("\ufffd") for p in _words(part)]
+                owner += [i] * len(some)
+                pieces += some
+        chains: dict[int, Counter] = {}
+        for i, v in zip(owner, self.words(pieces, marks=False)):
+            if v is not None:
+                chains.setdefault(i, Counter())[v[0]] += 1
+        return {i: (n.most_common(1)[0][0], None) for i, n in chains.items()}
+
+    def _fixed(self, word: str, own: int, main: int) -> tuple[int, str, int]:
+        """Chain, text and places left of a garbled word that its chain doesn't invert: by
+        another chain that inverts it as a whole, or in parts, by its own chain (-1: not
+        known) or the one of most of its text, whichever is likelier. A chain of code
+        pages isn't taken over from the text."""
+        whole = [(c, r) for c in range(CLEAN) if (r := invert(word, CHAINS[c])) is not None and r != word]
+        whole = [(c, r) for c, r in whole if not MARKS.search(r) and not MIXED.search(r)]
+        if whole:
+            before, *after = self.model.clean([word, *(r for _, r in whole)]).tolist()
+            gain, c, r = max((g - before, -c, r) for (c, r), g in zip(whole, after))
+            if gain > self._margin(-c, word, r):
+                return -c, r, 0
+        made = [(own, word, 1)]
+        for c in dict.fromkeys((own, main)):
+            if c < 0 or (PAGE[c] and c != own):
+                continue
+            fixed, left = word, 0
+            for k, (wrote, reads) in enumerate(reversed(CHAINS[c])):
+                fixed, left = self._undo(fixed, wrote, reads, final=k == len(CHAINS[c]) - 1)
+            if fixed != word:
+                made.append((c, fixed, left))
+        return made[int(np.argmax(self.model.clean([m[1] for m in made])))]
+
+    def _undo(self, word: str, wrote: str, reads: str, final: bool) -> tuple[str, int]:
+        """One step undone where it decodes strictly, between U+FFFD and characters that
+        ``reads`` can't write; in the last step only where that is likelier. Other
+        characters stay as they stand; of one of which a byte belongs to a neighbour that
+        decodes, U+FFFD stays. Also the number of places that stay."""
+        plain = raised(word) if reads.startswith("lower-") else word
+        code = reads.removeprefix("lower-")
+        tokens: list[tuple[str, bool]] = []  # text, decoded; ("", False): torn
+        run: list[bytes] = []
+        for i, c in enumerate([*plain, "\ufffd"]):
+            try:
+                data = b"" if c == "\ufffd" else write(c, code)
+            except UnicodeError:
+                data = b""
+            if data:
+                run.append(data)
+                continue
+            if run:
+                tokens += self._decoded(word[i - len(run) : i], run, wrote, final)
+                run = []
+            if i < len(word):
+                tokens.append((word[i], False))
+        out, left, within = "", 0, False
+        for (t, good), (after, _) in zip(tokens, [*tokens[1:], ("", True)]):
+            if not t and not out.endswith("\ufffd") and not after.startswith("\ufffd"):
+                t = "\ufffd"
+            odd = not good and not t.isascii()
+            left += odd and not within
+            within = odd or (within and not t)
+            out += t
+        return out, left
+
+    def _decoded(self, text: str, run: list[bytes], wrote: str, final: bool) -> list[tuple[str, bool]]:
+        """Tokens of a run of characters and their bytes."""
+        data = b"".join(run)
+        bounds = np.append(0, np.cumsum([len(b) for b in run]))
+
+        def held(a: int, b: int) -> str:
+            return text[np.searchsorted(bounds, a, "right") - 1 : np.searchsorted(bounds, b)]
+
+        # A code of two bytes may have lost its first byte to the mark before.
+        shifts = (0, 1) if wrote not in _SINGLE and wrote != U and len(data) > 1 else (0,)
+        ways = [[(0, k, None)] * (k > 0) + _stretches(data, k, wrote) for k in shifts]
+        if len(ways) > 1:
+            ways.sort(key=lambda w: -self.model.clean(["".join(t or "\ufffd" for *_, t in w)])[0])
+        asked = [(a, b, t) for a, b, t in ways[0] if t is not None]
+        if final:
+            before = self.model.clean([held(a, b) for a, b, _ in asked])
+            after = self.model.clean([t for *_, t in asked])
+            asked = [x for x, gain in zip(asked, (after - before).tolist()) if gain > 0 and not MARKS.search(x[2])]
+        tokens: list[tuple[str, bool]] = []
+        torn = ("", False)
+        at = 0
+        for a, b, t in [*asked, (len(data), len(data), "")]:
+            if at < a:
+                lo, hi = int(np.searchsorted(bounds, at)), int(np.searchsorted(bounds, a, "right")) - 1
+                if lo > hi:
+                    tokens.append(torn)
+                else:
+                    tokens += [torn] * int(bounds[lo] != at)
+                    tokens += [(text[lo:hi], False)] * (lo < hi)
+                    tokens += [torn] * int(bounds[hi] != a)
+            tokens += [(t, True)] * bool(t)
+            at = b
+        return tokens
+
     def _leans(self, word: str, chain: int) -> bool:
         r = invert(word, CHAINS[chain])
         if r is None or r == word:
@@ -446,9 +573,9 @@ def find_garbled(df: DataFrame, key: str = "doc_id", text: str = "text", model:
 
 
 def restore_garbled(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, ``restored`` (the text with every word restored that decodes), ``chains``
-    (array of names), ``lost`` (words that can't be restored) of the rows that
-    ``find_garbled`` gives."""
+    """``key``, ``restored`` (the text with every word, or part of one, restored that
+    decodes), ``chains`` (array of names), ``lost`` (places that can't be restored) of the
+    rows that ``find_garbled`` gives."""
     model = fit(df, key, text)
     shared = df.sparkSession.sparkContext.broadcast(model)
     names = ["; ".join(f"{a} read as {b}" for a, b in c) for c in CHAINS]

@@ -173,3 +173,22 @@ def test_one_word_is_enough_and_rows(spark, model):
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as key")
     assert sorted(r[0] for r in mojibake.find_garbled(df, model=model).collect()) == [1, 5, 6]
     assert mojibake.find_garbled(df.limit(0)).count() == 0
+
+
+def test_words_that_do_not_decode_whole_are_restored_in_parts(model):
+    judge = mojibake.Judge(model)
+    for text in CLEAN[3:5]:
+        bad = text.encode().decode("gbk", "replace")
+        assert "�" in bad
+        restored, chains, lost = judge.restore(bad)
+        kept = sum(c in text for c in restored)
+        assert kept >= 0.6 * len(text) and kept > 3 * sum(c in text for c in bad)
+        assert 0 < lost <= bad.count("�")
+        assert [mojibake.CHAINS[c] for c in chains] == [(("utf-8", "gb18030"),)]
+        # What is clean beside it stays.
+        assert judge.restore(f"{bad} {text}")[0] == f"{restored} {text}"
+    # Words with C1 controls aren't tied to the chain of the others.
+    german = CLEAN[0] + " Stößel"
+    restored, _, lost = judge.restore(german.encode().decode("latin-1"))
+    assert restored == german and lost == 0
+    assert judge.restore("broken � mark") == ("broken � mark", [], 1)
