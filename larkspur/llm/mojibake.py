@@ -255,6 +255,66 @@ class Classifier:
         return np.add.reduceat(self.table[pair, CLEAN], starts)
 
 
+#: Blanks, quotes and brackets that a word may stand between within a run.
+BORDER = re.compile("[\xa0\u202f\u3000«»‹›‘’‚‛“”„‟「」『』【】（）、。，；：]+")
+#: Characters of UTF-8, one of them of several bytes.
+_SEVERAL = rb"(?:[\xc2-\xdf][\x80-\xbf]|[\xe1-\xef][\x80-\xbf]{2}|\xe0[\xa0-\xbf][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2})"
+UTF8 = re.compile(rb"[\x00-\x7f]*(?:" + _SEVERAL + rb"[\x00-\x7f]*)+")
+UTF8_ONLY = re.compile(rb"(?:" + _SEVERAL + rb"){2,}")
+codecs.register_error("larkspur.ff", lambda e: (b"\xff" * (e.end - e.start), e.end))
+READ = sorted({c[-1][1] for c in CHAINS})
+
+
+@cache
+def _writable() -> tuple[list[re.Pattern], list[re.Pattern], frozenset[str]]:
+    """Runs of what each encoding that texts are read as can write: code pages, the
+    others (but gb18030, which writes everything), and all characters of the code pages."""
+    pages, others, high = [], [], set()
+    for e in sorted({e.removeprefix("lower-") for e in READ} - {"gb18030"}):
+        codes = [bytes([a]) for a in range(128, 256)]
+        if e not in _SINGLE:
+            codes += [a + bytes([b]) for a in codes for b in range(0x40, 0xFF)]
+        chars = {c for b in codes for c in b.decode(e, "ignore")}
+        pattern = re.compile("[\x00-\x7f" + "".join(map(re.escape, sorted(chars))) + "]+")
+        (pages if e in _SINGLE else others).append(pattern)
+        high |= chars if e in _SINGLE else set()
+    return pages, others, frozenset(high)
+
+
+HIGH = re.compile("[^\x00-\x7f]")
+HIGHS = re.compile("[^\x00-\x7f]{2}")
+
+
+def _within(word: str) -> set[str]:
+    """Parts of a word that may be garbled beside characters that aren't: between borders,
+    runs that an encoding can write, and those whose bytes are UTF-8."""
+    if len(HIGH.findall(word)) < 2:
+        return set()
+    pages, others, high = _writable()
+    out = {word, *BORDER.split(word)}
+    for part in list(out):
+        paged = not high.isdisjoint(part)
+        for pattern in [*(pages if paged else ()), *others]:
+            out.update(pattern.findall(part))
+        if not HIGHS.search(part):
+            continue
+        for reads in READ:
+            code = reads.removeprefix("lower-")
+            if code in _SINGLE:
+                if paged:
+                    data = (raised(part) if code != reads else part).encode(code, "larkspur.ff")
+                    out.update(part[m.start() : m.end()] for m in UTF8.finditer(data))
+            elif part is word:
+                found = [m.span() for m in UTF8_ONLY.finditer(word.encode(code, "larkspur.ff"))]
+                found = [(a, b) for a, b in found if b - a > 5]
+                bounds = np.cumsum([0, *(len(c.encode(code, "larkspur.ff")) for c in word)]) if found else ()
+                for a, b in found:
+                    i, j = int(np.searchsorted(bounds, a)), int(np.searchsorted(bounds, b, "right")) - 1
+                    out.update(part[k:n] for k in range(i, i + 3) for n in range(j, j - 3, -1) if n - k > 2)
+    out.discard(word)
+    return {w for w in out if len(w) > 1 and not w.isascii()}
+
+
 WORD = re.compile("[^ \t\r\n]*[^\x00-\x7f][^ \t\r\n]*")
 DIGIT = re.compile("[0-9]")
 
@@ -313,9 +373,25 @@ class Judge:
     def __init__(self, model: Classifier):
         self.model = model
         self.seen: dict[int, bool] = {}
+        self.parts: dict[str, tuple[int, str | None] | None] = {}
 
     def words(self, words: list[str], marks: bool = True) -> list[tuple[int, str | None] | None]:
-        """``marks``: a word with marks is a case whatever its chain."""
+        """``marks``: a word with marks is a case whatever its chain. A word that is no case
+        as a whole is one if a part of it is."""
+        out = self._whole(words, marks)
+        common = self.model.common
+        parts = {i: _within(w) - common for i, w in enumerate(words) if out[i] is None and w not in common}
+        if len(self.parts) > CACHE:
+            self.parts.clear()
+        fresh = sorted({w for some in parts.values() for w in some if w not in self.parts})
+        self.parts.update(zip(fresh, self._whole(fresh, False)))
+        for i, some in parts.items():
+            cases = [w for w in some if self.parts[w] is not None]
+            if cases:
+                out[i] = self.parts[max(cases, key=lambda w: (len(w), w))]
+        return out
+
+    def _whole(self, words: list[str], marks: bool) -> list[tuple[int, str | None] | None]:
         out: list = [None] * len(words)
         for i, w in enumerate(words):
             if marks and MARKS.search(w):
@@ -463,7 +539,8 @@ class Judge:
         """One step undone where it decodes strictly, between U+FFFD and characters that
         ``reads`` can't write; in the last step only where that is likelier. Other
         characters stay as they stand; of one of which a byte belongs to a neighbour that
-        decodes, U+FFFD stays. Also the number of places that stay."""
+        decodes, U+FFFD stays. Also the number of places that stay and that ``reads`` can
+        write, but for borders and what clean texts hold."""
         plain = raised(word) if reads.startswith("lower-") else word
         code = reads.removeprefix("lower-")
         tokens: list[tuple[str, bool]] = []  # text, decoded; ("", False): torn
@@ -480,12 +557,12 @@ class Judge:
                 tokens += self._decoded(word[i - len(run) : i], run, wrote, final)
                 run = []
             if i < len(word):
-                tokens.append((word[i], False))
+                tokens.append((word[i], not MARKS.match(c)))
         out, left, within = "", 0, False
         for (t, good), (after, _) in zip(tokens, [*tokens[1:], ("", True)]):
             if not t and not out.endswith("\ufffd") and not after.startswith("\ufffd"):
                 t = "\ufffd"
-            odd = not good and not t.isascii()
+            odd = not (good or t.isascii() or BORDER.fullmatch(t) or t in self.model.common)
             left += odd and not within
             within = odd or (within and not t)
             out += t
@@ -504,7 +581,8 @@ class Judge:
         ways = [[(0, k, None)] * (k > 0) + _stretches(data, k, wrote) for k in shifts]
         if len(ways) > 1:
             ways.sort(key=lambda w: -self.model.clean(["".join(t or "\ufffd" for *_, t in w)])[0])
-        asked = [(a, b, t) for a, b, t in ways[0] if t is not None]
+        # ASCII out of another character's last byte tells nothing by itself.
+        asked = [(a, b, t) for a, b, t in ways[0] if t is not None and (not t.isascii() or t == held(a, b))]
         if final:
             before = self.model.clean([held(a, b) for a, b, _ in asked])
             after = self.model.clean([t for *_, t in asked])

@@ -192,3 +192,18 @@ def test_words_that_do_not_decode_whole_are_restored_in_parts(model):
     restored, _, lost = judge.restore(german.encode().decode("latin-1"))
     assert restored == german and lost == 0
     assert judge.restore("broken � mark") == ("broken � mark", [], 1)
+
+
+def test_a_garbled_part_of_a_run_is_a_case(model):
+    judge = mojibake.Judge(model)
+    cases = {
+        "„fÃ¼hrt“": "„führt“",
+        "«\xa0Ã©tÃ©\xa0»": "«\xa0été\xa0»",
+        "éÃ¼ber": "éüber",
+        "所述控制器fÃ¼hrt连接到传感器，用于测量温度": "所述控制器führt连接到传感器，用于测量温度",
+        "前記弁体は" + "圧力".encode().decode("gb18030") + "回転軸に取り付けられ": "前記弁体は圧力回転軸に取り付けられ",
+    }
+    assert judge.slab(list(cases)).all()
+    assert not judge.slab(list(cases.values())).any()
+    for bad, good in cases.items():
+        assert judge.restore(bad)[0] == good
