@@ -146,8 +146,9 @@ class WorkLedger:
     Each item is a folder of numbered records ``000001.json``, written under a name of
     their own and linked into place, which fails if the number is taken: of two writers
     one wins. The number is the fencing token. The state is that of the highest record;
-    a lease past its end counts as pending. Output goes to ``path(item)``, the same for
-    every attempt, so that a retry overwrites what a failed attempt left.
+    a lease past its end counts as pending. Every attempt writes to a path with its
+    own token; ``path(item)`` is that of the attempt recorded as done, so that a holder
+    whose lease has ended can't touch it. What other attempts wrote is left beside it.
     """
 
     def __init__(self, folder: str, lease_seconds: float = 3600):
@@ -197,8 +198,15 @@ class WorkLedger:
         if newest != lease.token or not self._append(lease.item, lease.token + 1, {"state": state}):
             raise StaleLease(lease.item)
 
+    def _output(self, item: str, token: int) -> str:
+        return str(self.folder / "output" / item / f"{token:06d}")
+
     def path(self, item: str) -> str:
-        return str(self.folder / "output" / item)
+        """Output of a done item; LookupError if it isn't done."""
+        records = self._records(item)
+        if not records or json.loads(records[-1].read_text())["state"] != DONE:
+            raise LookupError(item)
+        return self._output(item, int(records[-1].stem) - 1)
 
     def process(self, item: str, df: DataFrame, now: float) -> bool:
         """Write ``df`` as the output of ``item`` under a lease; False if not ours to do."""
@@ -206,7 +214,7 @@ class WorkLedger:
         if lease is None:
             return False
         try:
-            df.write.mode("overwrite").parquet(self.path(item))
+            df.write.mode("overwrite").parquet(self._output(item, lease.token))
         except Exception:
             self.finish(lease, done=False)
             raise

@@ -202,3 +202,23 @@ def test_ledger_leases_and_fences(tmp_path, spark):
     assert ledger.state("a", 12)[0] == "done" and ledger.lease("a", 99) is None
     assert ledger.process("b", spark.range(3), now=0) and not ledger.process("b", spark.range(9), now=1)
     assert spark.read.parquet(ledger.path("b")).count() == 3
+
+
+def test_ledger_keeps_done_output_from_a_late_holder(tmp_path, spark):
+    ledger = WorkLedger(str(tmp_path), lease_seconds=10)
+
+    class Late:
+        """A frame that takes so long that another holder is done before it writes."""
+
+        write = property(lambda self: self)
+
+        def mode(self, mode):
+            return self
+
+        def parquet(self, path):
+            assert ledger.process("c", spark.range(3), now=11)
+            spark.range(9).write.mode("overwrite").parquet(path)
+
+    with pytest.raises(StaleLease):
+        ledger.process("c", Late(), now=0)
+    assert spark.read.parquet(ledger.path("c")).count() == 3
