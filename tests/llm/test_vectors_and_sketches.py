@@ -9,7 +9,7 @@ from decimal import Decimal
 import numpy as np
 import pytest
 
-from larkspur.llm import distinct, quantiles
+from larkspur.llm import distinct, neighbours, quantiles
 from larkspur.llm.neighbours import forest_neighbours, neighbour_pairs
 
 VECTORS = "vec_id long, index_id int, metric int, dim int, vectors array<float>, node_key string"
@@ -69,15 +69,16 @@ def vectors(spark):
     return rows
 
 
-@pytest.mark.parametrize("block", [64, 1024])
-def test_neighbours_recall(spark, vectors, block):
-    near = forest_neighbours(spark.createDataFrame(vectors, VECTORS).repartition(5), block=block)
+@pytest.mark.parametrize("unit", [64, neighbours.UNIT])
+def test_neighbours_recall(spark, vectors, unit, monkeypatch):
+    monkeypatch.setattr(neighbours, "UNIT", unit)
+    near = forest_neighbours(spark.createDataFrame(vectors, VECTORS).repartition(5))
     got = {r.vec_id: [x.id for x in r.near] for r in near.collect()}
     want = brute(vectors, 5)
     assert set(got) == set(want) and got[5000] == []
     hits = sum(len(set(got[i]) & set(want[i])) for i in want)
     assert hits >= 0.9 * sum(map(len, want.values()))
-    if block == 1024:
+    if unit == neighbours.UNIT and unit > 64:
         assert hits >= 0.999 * sum(map(len, want.values()))
 
 
