@@ -334,9 +334,9 @@ class _Forest:
 
     def enough(self) -> int | None:
         """Candidates that a query has to ascend for, or None if a pass over the whole unit
-        costs no more. Fitted on up to 96 queries: the fewest (doubling from 512) with
+        costs no more. Fitted on up to 256 queries: the fewest (doubling from 512) with
         which the stated share of their exact neighbours is met."""
-        picked = np.unique(np.linspace(0, len(self.asks) - 1, 96).astype(np.int64))
+        picked = np.unique(np.linspace(0, len(self.asks) - 1, 256).astype(np.int64))
         found, near = self.whole(self.asks[picked])
         kth = np.argsort(near, axis=1)[:, : self.k]
         found, real = np.take_along_axis(found, kth, 1), np.isfinite(np.take_along_axis(near, kth, 1))
