@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.session import shuffle_width
+from larkspur.session import cut, shuffle_width
 
 L2, COSINE, INNER = 0, 1, 2
 GROUP = ["index_id", "metric", "dim"]
@@ -515,9 +515,10 @@ def forest_neighbours(
         .sortWithinPartitions(*KEY, "_place")
         .mapInArrow(_searcher(k, trees, target, seed), "vec_id long, near array<struct<d:double,id:long>>")
     )
-    near = found
+    # Lists are read twice, by themselves and for the copies; the search runs once.
+    near = cut(found)
     if n_large:
-        near = found.groupBy("vec_id").agg(
+        near = near.groupBy("vec_id").agg(
             F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near")
         )
     more = members.join(classes, same).where(F.col("vec_id") > F.col("_last")).select(F.col("vec_id").alias("_copy"), "_first", "_own")
