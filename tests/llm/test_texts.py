@@ -100,6 +100,38 @@ def test_leaks_whole_part_and_edited(spark):
     assert leak(spark, docs[8:10]) == []
 
 
+def test_short_and_repetitive_items(spark):
+    """An item of four words, of one, and one that repeats itself (9 different words)."""
+    items = [
+        (1, "en", "Bleed the brake circuit"),
+        (2, "en", "open the main valve now " * 6),
+        (3, "en", "Zyzzyva"),
+        (4, "en", " ".join(WORDS[:40])),
+        (5, "en", "..."),
+    ]
+    docs = [
+        (1, "then <b>bleed</b> the brake-circuit. Then bleed the brake circuit!"),
+        (2, "x y z " + "open the main valve now " * 6 + "and so on"),
+        (3, "a ZYZZYVA stands here"),
+        (4, " ".join(WORDS[:5])),
+        (5, "bleed the front brake circuit"),
+    ]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    got = leaks.find_leaks(rows, spark.createDataFrame(items, "item_id long, lang string, text string"))
+    assert sorted(map(tuple, got.collect())) == [(1, 1), (2, 2), (3, 3)]
+
+
+def test_slots_of_reparameterised_items(spark):
+    words = [f"alpha{i}" for i in range(30)]
+    words[2::4] = ["40"] * 7
+    same = [{"40": "55"}.get(w, w) for w in words]
+    mixed = [f"5{i // 4}" if w == "40" else w for i, w in enumerate(words)]
+    items = spark.createDataFrame([(1, "en", " ".join(words))], "item_id long, lang string, text string")
+    rows = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(same)), (3, " ".join(mixed))], "doc_id long, text string")
+    assert [r.doc_id for r in leaks.find_leaks(rows, items).collect()] == [1]
+    assert sorted(r.doc_id for r in leaks.find_leaks(rows, items, renamed=True).collect()) == [1, 2]
+
+
 def test_words_ignore_variants():
     plain = leaks.words_of("the self-aligning café of Straße ﬁne")
     assert plain == leaks.words_of("THE  self‐\naligning café of <b>STRASSE</b>, ﬁ­ne".replace("ﬁ­ne", "fi­ne"))
