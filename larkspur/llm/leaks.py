@@ -31,9 +31,9 @@ WINDOW = 5
 #: A passage: this many consecutive words of the item, at most this share of them edited.
 PASSAGE, EDITS = 20, 0.1
 #: 20 words with 2 edits leave at least 6 of their 16 windows whole, whichever words are
-#: hit. Half of that is asked for, as a change that counts as none (a blank for a hyphen,
-#: a tag within a word) moves the borders of words and breaks windows, too.
-SHARED = 3
+#: hit. Fewer are asked for, as a change that counts as none (a blank for a hyphen, a tag
+#: within a word) moves the borders of words and breaks windows, too.
+SHARED = 4
 #: Words around the shared windows that the alignment gets to see.
 AROUND = 40
 #: Bits of the filters over item windows and over names that are sent to the executors
@@ -474,10 +474,11 @@ def find_leaks(documents: DataFrame, items: DataFrame, renamed: bool = False) ->
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [
-                holds_passage(d.split(" "), i.split(" "), k, renamed)
-                for d, i, k in zip(*(batch.column(c).to_pylist() for c in ("words", "item_words", "kinds")))
-            ]
+            ok = []
+            for d, i, k in zip(*(batch.column(c).to_pylist() for c in ("words", "item_words", "kinds"))):
+                whole = f" {i} " in f" {d} "
+                d, i = d.split(" "), i.split(" ")
+                ok.append(whole or holds_passage(d, i, k, renamed))
             yield batch.filter(pa.array(ok, pa.bool_())).select([*place, "item_id"])
 
     aligned = met.select(*place, "item_id", "words", "item_words", "kinds").mapInArrow(align, f"h1 long, h2 int, item_id {kind}")
