@@ -66,23 +66,33 @@ def estimates(parts: DataFrame, groups: Sequence[str]) -> DataFrame:
     )
 
 
+def _narrow(orders: DataFrame) -> DataFrame:
+    """``user_id``, ``day``, ``status``: status is compared without case and surrounding
+    blanks; empty and NULL are one group, NULL, as are unknown and placeholder days."""
+    status = F.lower(F.regexp_replace("status", r"^\s+|\s+$", ""))
+    return orders.select(
+        "user_id",
+        F.to_date(known_moment(F.col("placed_at"))).alias("day"),
+        F.when(status != "", status).alias("status"),
+    )
+
+
+def buyer_registers(orders: DataFrame) -> DataFrame:
+    """Registers of the users of each day and status: ``day``, ``status``, ``register``,
+    ``rank``. What a day's run stores; ``merge`` joins those of any days, statuses or
+    runs by their maximum, and ``estimates`` reads them. Rows without a user have none."""
+    return registers(_narrow(orders), ["day", "status"], "user_id")
+
+
 def distinct_buyers(orders: DataFrame) -> DataFrame:
     """Distinct ``user_id`` by day, by status, by both and over all.
 
     Columns: ``scope`` (day_status, day, status, all), ``day``, ``status``,
-    ``estimate``, ``standard_error``. Status is compared without case and surrounding
-    blanks; empty and NULL are one group, NULL, as are unknown and placeholder days.
-    Rows without a user aren't counted; groups without any user have no row. Repeated
+    ``estimate``, ``standard_error``. Groups without any user have no row. Repeated
     orders change nothing. The coarser groups are merged from the registers of the
     finest.
     """
-    status = F.lower(F.regexp_replace("status", r"^\s+|\s+$", ""))
-    narrow = orders.select(
-        "user_id",
-        F.to_date(known_moment(F.col("placed_at"))).alias("day"),
-        F.when(status != "", status).alias("status"),
-    )
-    finest = registers(narrow, ["day", "status"], "user_id")
+    finest = buyer_registers(orders)
     by_day = merge(finest, ["day"])
     by_status = merge(finest, ["status"])
     no_day, no_status = F.lit(None).cast("date").alias("day"), F.lit(None).cast("string").alias("status")
@@ -97,3 +107,31 @@ def distinct_buyers(orders: DataFrame) -> DataFrame:
         df = df.select(F.lit(scope).alias("scope"), *keys, "estimate", "standard_error")
         out = df if out is None else out.unionByName(df)
     return out.where("estimate > 0")
+
+
+def distinct_in_range(parts: DataFrame, first: str, last: str) -> DataFrame:
+    """Distinct users by status from the stored registers of the days ``first`` to
+    ``last``: ``status``, ``estimate``, ``standard_error``."""
+    days = parts.where(F.col("day").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+    return estimates(merge(days, ["status"]), ["status"]).where("estimate > 0")
+
+
+def distinct_bounds(orders: DataFrame) -> DataFrame:
+    """The stated error against exact counts: ``scope``, ``day``, ``status``, ``exact`` and
+    ``within``, true if the estimate is off by no more than five standard errors (and
+    one). Exact counts take one row for each user, day and status."""
+    pairs = _narrow(orders).where("user_id is not null").distinct()
+    no_day, no_status = F.lit(None).cast("date").alias("day"), F.lit(None).cast("string").alias("status")
+    exact = None
+    for scope, keys in (("day_status", ["day", "status"]), ("day", ["day", no_status]), ("status", [no_day, "status"]), ("all", [no_day, no_status])):
+        df = pairs.select(F.lit(scope).alias("scope"), *keys, "user_id").distinct()
+        df = df.groupBy("scope", "day", "status").agg(F.count(F.lit(1)).alias("exact"))
+        exact = df if exact is None else exact.unionByName(df)
+    found = distinct_buyers(orders).select(
+        F.col("scope").alias("s"), F.col("day").alias("d"), F.col("status").alias("t"), "estimate"
+    )
+    same = (F.col("scope") == F.col("s")) & F.col("day").eqNullSafe(F.col("d")) & F.col("status").eqNullSafe(F.col("t"))
+    off = F.abs(F.col("estimate") - F.col("exact"))
+    return exact.join(found, same, "left").select(
+        "scope", "day", "status", "exact", F.coalesce(off <= 5 * STANDARD_ERROR * F.col("exact") + 1, F.lit(False)).alias("within")
+    )

@@ -537,3 +537,55 @@ def neighbour_pairs(near: DataFrame) -> DataFrame:
     """``vec_a`` < ``vec_b``: each pair once of which one is in the list of the other."""
     pairs = near.select("vec_id", F.explode("near.id").alias("_o"))
     return pairs.select(F.least("vec_id", "_o").alias("vec_a"), F.greatest("vec_id", "_o").alias("vec_b")).distinct()
+
+
+def recall(df: DataFrame, k: int = 5, every: int = 100, cell: int = 1 << 15) -> DataFrame:
+    """``index_id``, ``queries``, ``recall``: the share of exact neighbours that the forest
+    lists for the usable vectors whose id is divisible by ``every``.
+
+    The exact lists come from these queries against all rows of their index: rows and
+    queries are cut into blocks, each pair of blocks is a task that keeps its k best for
+    each query, and the best of these are the list."""
+    points = usable(df)
+    asks = points.where(F.col("vec_id") % every == 0)
+    sizes = points.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("vec_id") % every == 0).alias("_q")).where("_q > 0")
+    parts = sizes.select(*GROUP, F.ceil(F.col("_n") / cell).alias("_rows"), F.ceil(F.col("_q") / 1024).alias("_asks"))
+    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n))
+    every_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    rows = points.join(parts, GROUP).select("vec_id", *GROUP, "vectors", block("_rows").alias("_r"), every_of("_asks").alias("_a"))
+    wanted = asks.join(parts, GROUP).select("vec_id", *GROUP, "vectors", block("_asks").alias("_a"), every_of("_rows").alias("_r"))
+    wanted = wanted.toDF("ask", "i", "m", "n", "vector", "b", "r")
+
+    def best(key, left, right):
+        import pandas as pd
+
+        metric = int(key[1])
+        if not len(left) or not len(right):
+            return pd.DataFrame({"vec_id": [], "d": [], "id": []})
+        data, ask = left.sort_values("vec_id"), right.sort_values("ask")
+        ids, x, q = data["vec_id"].to_numpy(), np.stack(data["vectors"].to_numpy()), np.stack(ask["vector"].to_numpy())
+        out = []
+        for i in range(len(q)):
+            d = _exact(metric, q[i : i + 1], x[None])[0]
+            d[ids == ask["ask"].iloc[i]] = np.inf
+            top = np.argpartition(d, min(k, len(d) - 1))[: k + 1] if len(d) > k else np.arange(len(d))
+            edge = np.sort(d[top])[min(k, len(top)) - 1]
+            at = np.flatnonzero(d <= edge)
+            at = at[np.lexsort((ids[at], d[at]))][:k]
+            at = at[np.isfinite(d[at])]
+            out.append(pd.DataFrame({"vec_id": np.full(len(at), ask["ask"].iloc[i]), "d": d[at], "id": ids[at]}))
+        return pd.concat(out)
+
+    cells = rows.groupBy(*GROUP, "_r", "_a").cogroup(wanted.groupBy("i", "m", "n", "r", "b"))
+    found = cells.applyInPandas(best, "vec_id long, d double, id long")
+    exact = found.groupBy("vec_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "id"))), 1, k)["id"].alias("exact"))
+    listed = forest_neighbours(df, k).where(F.col("vec_id") % every == 0).select("vec_id", F.col("near.id").alias("listed"))
+    both = asks.select("vec_id", "index_id").join(exact, "vec_id", "left").join(listed, "vec_id", "left")
+    none = F.array().cast("array<bigint>")
+    return both.groupBy("index_id").agg(
+        F.count(F.lit(1)).alias("queries"),
+        (
+            F.sum(F.size(F.array_intersect(F.coalesce("exact", none), F.coalesce("listed", none))))
+            / F.greatest(F.sum(F.size(F.coalesce("exact", none))), F.lit(1))
+        ).alias("recall"),
+    )

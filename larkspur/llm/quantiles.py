@@ -1,6 +1,6 @@
 """Percentiles per group from compressed dyadic-tree counts (q-digest).
 
-Values are quantised to an ordered universe of 2^16 codes; a digest counts codes and,
+Values are quantised to an ordered universe of 2^17 codes; a digest counts codes and,
 where counts are small, whole dyadic ranges of codes. Digests of any two sets of rows
 are joined by adding the counts of equal nodes.
 """
@@ -19,7 +19,7 @@ from larkspur.operators.changes import group_starts
 from larkspur.operators.rolling import known_moment, once_per_key
 from larkspur.session import cut
 
-LEVELS, MANTISSA = 16, 10
+LEVELS, MANTISSA = 17, 10
 HALF = 1 << (LEVELS - 1)
 SHIFT = LEVELS + 1
 MASK = (1 << SHIFT) - 1
@@ -29,9 +29,9 @@ SMALL = 1 << MANTISSA
 
 
 def code_of(cents: Column) -> Column:
-    """Ordered code of an integer: exact below 2^10, then 2^10 steps in each power of
-    two, up to 2^41; values beyond are counted in the outermost code."""
-    m = F.least(F.abs(cents), F.lit((1 << 41) - 1))
+    """Ordered code of a bigint: exact below 2^10, then 2^10 steps in each power of two.
+    All bigints but the smallest, which has no absolute value, have a code."""
+    m = F.abs(F.greatest(cents, F.lit(1 - (1 << 63))))
     e = F.greatest(F.floor(F.log2(F.greatest(m, F.lit(1)).cast("double"))), F.lit(MANTISSA)) - MANTISSA
     code = (e * SMALL + F.call_function("shiftright", m, e.cast("int"))).cast("int")
     return F.when(cents < 0, HALF - code).otherwise(HALF + code)
@@ -49,8 +49,8 @@ def value_of(code: np.ndarray) -> np.ndarray:
 def compress(group: np.ndarray, node: np.ndarray, count: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
     """Move children into their parent, from the leaves up, where the family counts at
     most n / k; n is the count of the group. Nodes are heap numbers: root 1, leaf
-    2^16 + code. A node that isn't a leaf then counts at most n / k, so a rank is off
-    by at most 16 n / k. ``group`` holds small integers; all groups go at once."""
+    2^17 + code. A node that isn't a leaf then counts at most n / k, so a rank is off
+    by at most 17 n / k. ``group`` holds small integers; all groups go at once."""
     limit = np.bincount(group, count).astype(np.int64) // k
     fixed = limit[group] < 1
     done = [(group[fixed].astype(np.int64) << SHIFT | node[fixed], count[fixed])]
@@ -96,7 +96,7 @@ def quantile(group: np.ndarray, node: np.ndarray, count: np.ndarray, q: Sequence
 
 def digests(df: DataFrame, groups: Sequence[str], cents: str, k: int) -> DataFrame:
     """Digests of the groups: ``groups``, ``node``, ``count``. Leaves are counted with
-    map-side combine, so a group comes to its task as at most 2^16 rows however many
+    map-side combine, so a group comes to its task as at most 2^17 rows however many
     it has. NULL values are not counted; a NULL group is a group."""
     leaves = (
         df.where(F.col(cents).isNotNull())
@@ -113,7 +113,7 @@ def merge(parts: DataFrame, groups: Sequence[str], k: int) -> DataFrame:
 
 def _by_group(nodes: DataFrame, groups: Sequence[str], act: Callable, schema: str | T.StructType) -> DataFrame:
     """Run ``act(group keys, group, node, count)`` over whole groups, many at a time. A
-    group has at most 2^17 nodes; what is held is one Arrow batch and one group."""
+    group has at most 2^18 nodes; what is held is one Arrow batch and one group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry: pa.Table | None = None
@@ -169,18 +169,10 @@ def percentiles(parts: DataFrame, groups: Sequence[str], k: int, q: Sequence[flo
     return _by_group(parts, groups, read, schema)
 
 
-def order_percentiles(
-    orders: DataFrame, q: Sequence[float] = (0.05, 0.25, 0.5, 0.75, 0.95, 0.99), k: int = 3200
-) -> DataFrame:
-    """Percentiles of ``amount`` by status for each day and for the whole.
-
-    Columns: ``scope`` (day, all), ``day`` (NULL for the whole, and for the orders whose
-    moment is unknown or a placeholder), ``status`` and those of ``percentiles``. Each
-    order counts once. Status is compared without case and surrounding blanks; empty
-    and NULL are one group, NULL. Orders without amount aren't counted; a group without
-    any amount has no row. The whole is merged from the digests of the days, which are
-    checkpointed, as both results read them.
-    """
+def daily_amounts(orders: DataFrame) -> DataFrame:
+    """``day``, ``status``, ``_c``: one row an order, amounts in hundredths. The day is NULL
+    where the moment is unknown or a placeholder; status is compared without case and
+    surrounding blanks; empty and NULL are one group, NULL."""
     status = F.lower(F.regexp_replace("status", r"^\s+|\s+$", ""))
     narrow = orders.select(
         "id",
@@ -189,11 +181,61 @@ def order_percentiles(
         F.round(F.col("amount").cast("decimal(18,2)") * 100).cast("bigint").alias("_c"),
         F.unix_micros(F.col("loaded_at").cast("timestamp")).alias("_a"),
     )
-    once = once_per_key(narrow, "id", "_a", ["day", "status", "_c"])
-    days = cut(digests(once, ["day", "status"], "_c", k))
+    return once_per_key(narrow, "id", "_a", ["day", "status", "_c"])
+
+
+#: Percentiles that are given, and nodes that a digest keeps at least: 17 n / k is 0.5 %.
+WANTED, KEPT = (0.05, 0.25, 0.5, 0.75, 0.95, 0.99), 3400
+
+
+def order_digests(orders: DataFrame, k: int = KEPT) -> DataFrame:
+    """Digests of the amounts of each day and status: ``day``, ``status``, ``node``,
+    ``count``. What a day's run stores; ``merge`` joins those of any days."""
+    return digests(daily_amounts(orders), ["day", "status"], "_c", k)
+
+
+def order_percentiles(orders: DataFrame, q: Sequence[float] = WANTED, k: int = KEPT) -> DataFrame:
+    """Percentiles of ``amount`` by status for each day and for the whole.
+
+    Columns: ``scope`` (day, all), ``day`` (NULL for the whole, and for the orders whose
+    moment is unknown or a placeholder), ``status`` and those of ``percentiles``. Each
+    order counts once. Orders without amount aren't counted; a group without any amount
+    has no row. The whole is merged from the digests of the days, which are
+    checkpointed, as both results read them.
+    """
+    days = cut(order_digests(orders, k))
     whole = merge(days, ["status"], k)
     by_day = percentiles(days, ["day", "status"], k, q).select(F.lit("day").alias("scope"), "*")
     overall = percentiles(whole, ["status"], k, q).select(
         F.lit("all").alias("scope"), F.lit(None).cast("date").alias("day"), "*"
     )
     return by_day.unionByName(overall)
+
+
+def percentile_bounds(orders: DataFrame, q: Sequence[float] = WANTED, k: int = KEPT) -> DataFrame:
+    """The stated error against exact ranks: ``scope``, ``day``, ``status``, ``n`` and
+    ``within``, true if every percentile's value stands, within its value error, at a
+    rank that is off by no more than the rank error (and a row)."""
+    amounts = daily_amounts(orders).where("_c is not null")
+    rows = amounts.select(F.lit("day").alias("scope"), "day", "status", "_c").unionAll(
+        amounts.select(F.lit("all").alias("scope"), F.lit(None).cast("date").alias("day"), "status", "_c")
+    )
+    counts = rows.groupBy("scope", "day", "status", "_c").agg(F.count(F.lit(1)).alias("_n"))
+    names = [f"p{round(x * 100, 4):g}".replace(".", "_") for x in q]
+    found = order_percentiles(orders, q, k).select(
+        F.col("scope").alias("s"), F.col("day").alias("d"), F.col("status").alias("t"), *names, "rank_error", "value_error"
+    )
+    both = counts.join(
+        found, (F.col("scope") == F.col("s")) & F.col("day").eqNullSafe(F.col("d")) & F.col("status").eqNullSafe(F.col("t"))
+    )
+    ok = F.lit(True)
+    sums = [F.sum("_n").alias("n"), F.first("rank_error").alias("_e")]
+    for x, name in zip(q, names):
+        room = F.abs(F.col(name) * 100) * F.col("value_error") + 1
+        sums += [
+            F.sum(F.when(F.col("_c") < F.col(name) * 100 - room, F.col("_n")).otherwise(0)).alias(f"{name}_lo"),
+            F.sum(F.when(F.col("_c") <= F.col(name) * 100 + room, F.col("_n")).otherwise(0)).alias(f"{name}_hi"),
+        ]
+        slack = F.col("_e") * F.col("n") + 1
+        ok = ok & (F.col(f"{name}_lo") - slack <= x * F.col("n")) & (F.col(f"{name}_hi") + slack >= x * F.col("n"))
+    return both.groupBy("scope", "day", "status").agg(*sums).select("scope", "day", "status", "n", ok.alias("within"))

@@ -92,10 +92,10 @@ def test_pairs_once(spark, vectors):
 
 
 def test_codes_are_ordered_and_near(spark):
-    values = sorted({v * s + d for v in (0, 1, 7, 1000, 1023, 1024, 99999, 10**9, 10**12) for s in (1, -1) for d in (-1, 0, 1)})
+    values = sorted({v * s + d for v in (0, 1, 7, 1000, 1023, 1024, 99999, 10**9, 10**12, 3 * 10**13, 10**15, 1 << 53, 1 << 62) for s in (1, -1) for d in (-1, 0, 1)})
     df = spark.createDataFrame([(v,) for v in values], "v long")
     codes = [r[0] for r in df.orderBy("v").select(quantiles.code_of(df["v"])).collect()]
-    assert codes == sorted(codes) and 0 <= min(codes) and max(codes) < 1 << 16
+    assert codes == sorted(codes) and 0 <= min(codes) and max(codes) < 1 << quantiles.LEVELS
     back = quantiles.value_of(np.array(codes))
     assert all(abs(b - v) <= quantiles.VALUE_ERROR * abs(v) for b, v in zip(back, values))
 
@@ -106,7 +106,7 @@ def test_digest_rank_error_also_after_merging():
     parts = []
     for _ in range(7):
         codes = rng.integers(0, 1 << 16, 5000) if rng.random() < 0.5 else rng.integers(30000, 30050, 5000)
-        leaf, count = np.unique(codes + (1 << 16), return_counts=True)
+        leaf, count = np.unique(codes + (1 << quantiles.LEVELS), return_counts=True)
         parts.append((codes, *quantiles.compress(np.zeros(len(leaf), np.int64), leaf, count, k)[1:]))
     node = np.concatenate([p[1] for p in parts])
     count = np.concatenate([p[2] for p in parts])
@@ -117,9 +117,9 @@ def test_digest_rank_error_also_after_merging():
     assert count.sum() == n and len(node) <= 3 * k + 64
     for q in (0.01, 0.25, 0.5, 0.9, 0.99):
         value = quantiles.quantile(np.zeros(len(node), np.int64), node, count, [q])[0, 0]
-        code = int(np.flatnonzero(np.isclose(quantiles.value_of(np.arange(1 << 16)), value))[0])
+        code = int(np.flatnonzero(np.isclose(quantiles.value_of(np.arange(1 << quantiles.LEVELS)), value))[0])
         low, high = np.searchsorted(everything, code, "left"), np.searchsorted(everything, code, "right")
-        assert low - 16 * n / k <= q * n <= high + 16 * n / k
+        assert low - quantiles.LEVELS * n / k <= q * n <= high + quantiles.LEVELS * n / k
 
 
 def shop(n, seed=3):
@@ -171,6 +171,15 @@ def test_distinct_counts(spark):
     assert distinct.distinct_buyers(spark.createDataFrame([], ORDERS)).count() == 0
 
 
+def test_registers_of_a_range(spark):
+    df = spark.createDataFrame(shop(4000), ORDERS)
+    parts = distinct.buyer_registers(df)
+    one = {r.status: r.estimate for r in distinct.distinct_in_range(parts, "2030-01-01", "2030-01-01").collect()}
+    want = {(r.day, r.status): r.estimate for r in distinct.distinct_buyers(df).where("scope = 'day_status'").collect()}
+    assert one == {s: n for (d, s), n in want.items() if d == T0.date()}
+    assert all(r.within for r in distinct.distinct_bounds(df).collect())
+
+
 @pytest.mark.parametrize("n", [1, 10, 3000, 12000, 60000])
 def test_distinct_error_bound_and_merging(spark, n):
     df = spark.range(n).selectExpr("id", "id % 3 as part", "1 as one")
