@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import partial
 from typing import Any
 
 import pandas as pd
@@ -29,17 +30,43 @@ def path_steps(path: str) -> list[str | int]:
     return out
 
 
+class Number(float):
+    """A number with a point or exponent, which keeps its spelling."""
+
+    text: str
+
+    @classmethod
+    def of(cls, text: str) -> Number:
+        out = cls(text)
+        out.text = text
+        return out
+
+
+def _refuse(name: str) -> Any:
+    raise ValueError(f"{name} isn't JSON")
+
+
 def dump(value: Any) -> str:
-    """Text with ", " and ": " between, keys in their order."""
+    """Text with ", " and ": " between, keys in their order, numbers as they were spelt."""
+    if isinstance(value, Number):
+        return value.text
+    if isinstance(value, list):
+        return "[" + ", ".join(map(dump, value)) + "]"
+    if isinstance(value, dict):
+        return "{" + ", ".join(f"{json.dumps(k, ensure_ascii=False)}: {dump(v)}" for k, v in value.items()) + "}"
     return json.dumps(value, ensure_ascii=False)
 
 
+def parse(text: str) -> Any:
+    return json.loads(text, parse_float=Number.of, parse_constant=_refuse)
+
+
 def _load(text: str | None) -> tuple[bool, Any]:
     if text is None:
         return False, None
     try:
-        return True, json.loads(text)
-    except ValueError:
+        return True, parse(text)
+    except (ValueError, RecursionError):
         return False, None
 
 
@@ -183,7 +210,7 @@ def length(doc: Column) -> Column:
 def keys(doc: Column) -> Column:
     """Keys of an object as a JSON array, NULL for anything else."""
     names = F.json_object_keys(doc)
-    quoted = F.transform(names, lambda k: F.concat(F.lit('"'), k, F.lit('"')))
+    quoted = F.transform(names, quote)
     return F.when(names.isNotNull(), F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]")))
 
 
@@ -205,8 +232,8 @@ def type_of(doc: Column) -> Column:
 
 
 def quote(s: Column) -> Column:
-    """The text as a JSON string."""
-    return F.regexp_replace(F.regexp_replace(F.to_json(F.array(s)), r"^\[", ""), r"\]$", "")
+    """The text as a JSON string; NULL stays NULL."""
+    return F.when(s.isNotNull(), F.regexp_extract(F.to_json(F.array(s.cast("string"))), r"(?s)^\[(.*)\]$", 1))
 
 
 def array(*parts: Column) -> Column:
@@ -222,3 +249,83 @@ def object_of(**parts: Column) -> Column:
 
 def _item(p: Column) -> Column:
     return F.coalesce(quote(p), F.lit("null"))
+
+
+# --- functions of SQL text, whose paths and values may be columns -----------------------
+
+
+def _changed(how: str, doc: str | None, path: str | None, value: str | None) -> str | None:
+    ok, d = _load(doc)
+    if not ok or path is None:
+        return None
+    steps = path_steps(path)
+    if how == "remove":
+        found, parent = _find(d, steps[:-1])
+        if found and steps:
+            last = steps[-1]
+            if isinstance(last, str) and isinstance(parent, dict):
+                parent.pop(last, None)
+            elif isinstance(last, int) and isinstance(parent, list) and last < len(parent):
+                parent.pop(last)
+        return dump(d)
+    return dump(_put(d, steps, parse(value) if value is not None else None, how != "replace", how != "insert"))
+
+
+def _at(doc: str | None, path: str | None) -> tuple[bool, Any]:
+    ok, d = _load(doc)
+    return _find(d, path_steps(path)) if ok and path is not None else (False, None)
+
+
+def _got(doc: str | None, path: str | None) -> str | None:
+    found, v = _at(doc, path)
+    return dump(v) if found else None
+
+
+def _length(doc: str | None, path: str | None) -> int | None:
+    found, v = _at(doc, path)
+    return (len(v) if isinstance(v, (list, dict)) else 1) if found else None
+
+
+def _keys(doc: str | None, path: str | None) -> str | None:
+    found, v = _at(doc, path)
+    return dump(list(v)) if found and isinstance(v, dict) else None
+
+
+def _contained(doc: str | None, candidate: str | None, path: str | None) -> int | None:
+    found, v = _at(doc, path)
+    ok, c = _load(candidate)
+    return int(_within(v, c)) if found and ok else None
+
+
+def _kind(doc: str | None) -> str | None:
+    ok, v = _load(doc)
+    if not ok:
+        return None
+    names = ((type(None), "NULL"), (bool, "BOOLEAN"), (int, "INTEGER"), (float, "DOUBLE"), (str, "STRING"), (list, "ARRAY"), (dict, "OBJECT"))
+    return next(name for kind, name in names if isinstance(v, kind))
+
+
+def register(spark) -> None:
+    """Make the functions that SQL text calls known to a session, once."""
+    if getattr(spark, "_larkspur_jsons", False):
+        return
+
+    def add(name: str, act, kind: str, arity: int) -> None:
+        def over(*columns: pd.Series) -> pd.Series:
+            return pd.Series([act(*row) for row in zip(*columns)], dtype=object if kind == "string" else "Int64")
+
+        forms = {
+            1: lambda a: over(a),
+            2: lambda a, b: over(a, b),
+            3: lambda a, b, c: over(a, b, c),
+        }
+        spark.udf.register(name, F.pandas_udf(forms[arity], kind, F.PandasUDFType.SCALAR))
+
+    add("larkspur_json_get", _got, "string", 2)
+    add("larkspur_json_length", _length, "long", 2)
+    add("larkspur_json_keys", _keys, "string", 2)
+    add("larkspur_json_contains", _contained, "long", 3)
+    add("larkspur_json_type", _kind, "string", 1)
+    for how in ("set", "insert", "replace", "remove"):
+        add(f"larkspur_json_{how}", partial(_changed, how), "string", 3)
+    spark._larkspur_jsons = True

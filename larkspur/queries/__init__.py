@@ -7,9 +7,9 @@ from larkspur.registry import Registry
 
 def core() -> Registry:
     """All queries of the core."""
-    from larkspur.queries import analytic, data_processing, other, relational, scalar
+    from larkspur.queries import analytic, data_processing, dialect, other, relational, scalar
 
     registry = Registry()
-    for module in (data_processing, relational, analytic, scalar, other):
+    for module in (data_processing, relational, analytic, scalar, other, dialect):
         module.register(registry)
     return registry
