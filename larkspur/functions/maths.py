@@ -50,13 +50,18 @@ def round_half_away(x: Column, digits: int = 0) -> Column:
 
 
 def truncate(x: Column, digits: int) -> Column:
-    """Cut toward zero, exact on decimals."""
-    wide = x.cast("decimal(30,10)")
-    factor = F.lit(10**digits) if digits >= 0 else F.lit(1)
+    """Cut toward zero, exact on decimals of up to 20 digits before the point and 10 after;
+    other numbers are doubles, of which those beyond 2^53 have nothing to cut after it."""
+    step = F.lit(10 ** abs(digits))
+    wide = x.try_cast("decimal(30,10)")
+    real = x.cast("double")
     if digits < 0:
-        step = F.lit(10**-digits)
-        return F.signum(wide).cast("int") * F.floor(F.abs(wide) / step) * step
-    return F.signum(wide).cast("int") * F.floor(F.abs(wide) * factor) / factor
+        cut = F.signum(wide).cast("int") * F.floor(F.abs(wide) / step) * step
+        rough = F.signum(real) * F.floor(F.abs(real) / step) * step
+    else:
+        cut = F.signum(wide).cast("int") * F.floor(F.abs(wide) * step) / step
+        rough = F.when(F.abs(real) < 2.0**53, F.signum(real) * F.floor(F.abs(real) * step) / step).otherwise(real)
+    return F.coalesce(cut.cast("double"), rough)
 
 
 def pi() -> Column:

@@ -30,11 +30,11 @@ def finite(x: Column) -> Column:
 
 
 def divide(a: Column, b: Column, scale: int = 0) -> Column:
-    """Exact ``/`` of integers or decimals of the given scale: 4 more digits, rounded half
-    away from zero; NULL for division by 0."""
-    dividend = a.cast(f"decimal(30,{scale + 6})")
-    divisor = b.cast("decimal(20,4)") if scale else b.cast("decimal(20,0)")
-    return F.round(F.try_divide(dividend, divisor), scale + 4)
+    """Exact ``/`` of an integer or a decimal of ``scale`` digits by an integer or decimal of
+    any: 4 more digits than the dividend's, rounded half away from zero; NULL for
+    division by 0."""
+    dividend = a.cast(f"decimal({24 + scale},{scale + 6})")
+    return F.round(F.try_divide(dividend, b), scale + 4)
 
 
 def modulo(a: Column, b: Column) -> Column:
@@ -116,13 +116,13 @@ def to_signed(text: Column) -> Column:
 
 
 def round_to_signed(x: Column) -> Column:
-    """CAST(double AS SIGNED): half away from zero."""
-    return (F.signum(x) * F.floor(F.abs(x) + 0.5)).try_cast("bigint")
+    """CAST(double AS SIGNED): half away from zero; NULL for what no bigint holds."""
+    return F.round(x).try_cast("decimal(38,0)").try_cast("bigint")
 
 
 def to_unsigned(x: Column) -> Column:
-    """CAST(integer AS UNSIGNED): negative numbers wrap."""
-    return unsigned(x.cast("bigint"))
+    """CAST(number AS UNSIGNED): modulo 2^64, so that negative numbers wrap."""
+    return F.pmod(F.round(x).try_cast("decimal(38,0)"), F.expr(TWO64)).cast("decimal(20,0)")
 
 
 def to_decimal(text: Column, precision: int, scale: int) -> Column:

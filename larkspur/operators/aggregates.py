@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.semantics import unsigned
@@ -72,6 +72,10 @@ def facet(df: DataFrame, groups: Sequence[str], value: str, top: int | None = No
     meet in one place. NULL values aren't counted; a group of NULLs only has ``{}``.
     """
     counts = df.groupBy(*groups, F.col(value).cast("string").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    if top is not None:
+        # The first n of each group are picked where the counts lie, before any list.
+        best = Window.partitionBy(*groups).orderBy(F.col("_v").isNull(), F.desc("_n"), "_v")
+        counts = counts.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= max(top, 1))
     pairs = F.sort_array(
         F.collect_list(F.when(F.col("_v").isNotNull(), F.struct((-F.col("_n")).alias("n"), F.col("_v").alias("v"))))
     )

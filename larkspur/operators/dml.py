@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Mapping, Sequence
-from pathlib import Path
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -78,29 +78,23 @@ def violations(table: DataFrame, **checks: Column) -> DataFrame:
 
 
 def column_statistics(table: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """ANALYZE TABLE: ``name``, ``rows``, ``ndv``, ``nulls``, ``low``, ``high`` in one
-    scan; distinct counts are exact and computed together."""
-    parts = [F.count(F.lit(1)).alias("_rows")]
-    for i, c in enumerate(columns):
-        parts += [
-            F.count_distinct(F.col(c)).alias(f"d{i}"),
-            F.count_if(F.col(c).isNull()).alias(f"n{i}"),
-            F.min(F.col(c)).cast("string").alias(f"l{i}"),
-            F.max(F.col(c)).cast("string").alias(f"h{i}"),
-        ]
-    one = table.agg(*parts)
-    rows = [
-        F.struct(
-            F.lit(c).alias("name"),
-            F.col("_rows").alias("rows"),
-            F.col(f"d{i}").alias("ndv"),
-            F.col(f"n{i}").alias("nulls"),
-            F.col(f"l{i}").alias("low"),
-            F.col(f"h{i}").alias("high"),
+    """ANALYZE TABLE: ``name``, ``rows``, ``ndv``, ``nulls``, ``low``, ``high``, exact. Each
+    column is scanned by itself and counted by value with map-side combine; no row is
+    repeated for the number of columns."""
+    parts = []
+    for c in columns:
+        values = table.groupBy(F.col(c).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+        parts.append(
+            values.agg(
+                F.lit(c).alias("name"),
+                F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"),
+                F.count("_v").alias("ndv"),
+                F.coalesce(F.sum(F.when(F.col("_v").isNull(), F.col("_n"))), F.lit(0)).alias("nulls"),
+                F.min("_v").cast("string").alias("low"),
+                F.max("_v").cast("string").alias("high"),
+            )
         )
-        for i, c in enumerate(columns)
-    ]
-    return one.select(F.inline(F.array(*rows)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def histogram(table: DataFrame, column: str, buckets: int) -> DataFrame:
@@ -143,7 +137,8 @@ class MaterializedView:
         return mark
 
     def stale(self) -> bool:
-        return not Path(self.folder, self.fingerprint(), "_SUCCESS").exists()
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{self.fingerprint()}/_SUCCESS")
+        return not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
     def read(self) -> DataFrame:
         mark = self.refresh() if self.stale() else self.fingerprint()

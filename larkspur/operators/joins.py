@@ -6,6 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def not_in(left: DataFrame, right: DataFrame, column: str, key: str) -> DataFrame:
+    """``column NOT IN (SELECT key FROM right)``: nothing if ``right`` has a NULL, all rows if
+    it is empty, else the rows with a known value that isn't there. NULLs are counted
+    once, so that what is left is a plain anti join; Spark's own null-aware one always
+    broadcasts ``right``."""
+    there = right.select(F.col(key).alias("_key"))
+    known = left.sparkSession.sql(
+        "SELECT *, (SELECT count(*) FROM {r}) AS _n, (SELECT count(*) FROM {r} WHERE _key IS NULL) AS _nulls FROM {l}", l=left, r=there
+    )
+    kept = known.where((F.col("_n") == 0) | (F.col("_nulls") == 0) & F.col(column).isNotNull()).drop("_n", "_nulls")
+    return kept.join(there, F.col(column) == F.col("_key"), "left_anti")
+
+
 def natural(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
     """All shared columns, once and first, then the rest of either side; without a shared
     column a cross product of the two, as the standard has it."""

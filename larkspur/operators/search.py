@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions import stemming, vectors
+from larkspur.operators.windows import numbered
 
 DISTANCES = {"l2": vectors.l2_squared, "cosine": vectors.cosine_distance, "inner": vectors.negative_inner}
 
@@ -57,9 +58,30 @@ def match_boolean(columns: Sequence[Column], query: str) -> Column:
 def postings(df: DataFrame, key: str, columns: Sequence[str], stem: bool = False) -> DataFrame:
     """Inverted index: ``term``, ``key``, each pair once. Write it partitioned or bucketed
     by term for lookups."""
-    words = tokens(F.concat_ws(" ", *columns))
-    words = F.array_distinct(stemming.stems(words) if stem else words)
-    return df.select(F.explode(words).alias("term"), F.col(key))
+    words = F.array_distinct(tokens(F.concat_ws(" ", *columns)))
+    found = df.select(F.explode(words).alias("term"), F.col(key))
+    if not stem:
+        return found
+    # Each different word is stemmed once, however often it stands in the texts.
+    stems = found.select("term").distinct().withColumn("_stem", stemming.stems(F.array("term"))[0])
+    return found.join(stems, "term").select(F.col("_stem").alias("term"), F.col(key)).distinct()
+
+
+def write_index(df: DataFrame, key: str, columns: Sequence[str], path: str, stem: bool = False, folders: int = 64) -> str:
+    """CREATE FULLTEXT INDEX: the postings stored in folders by the term's hash, sorted by
+    term within files, so that a lookup reads one folder and few row groups a term."""
+    index = postings(df, key, columns, stem).withColumn("part", F.pmod(F.xxhash64("term"), F.lit(folders)).cast("int"))
+    index = index.repartition("part", F.pmod(F.hash(key), F.lit(4))).sortWithinPartitions("part", "term")
+    index.write.mode("overwrite").partitionBy("part").parquet(path)
+    return path
+
+
+def read_index(spark: SparkSession, path: str, key: str, query: str, stem: bool = False, folders: int = 64) -> DataFrame:
+    """``key`` and score of the rows that hold any term, from a stored index."""
+    terms = [stemming.stem(t) for t in terms_of(query)] if stem else terms_of(query)
+    wanted = spark.range(1).select(F.explode(F.array(*map(F.lit, terms))).alias("t")).select(F.pmod(F.xxhash64("t"), F.lit(folders)).cast("int"))
+    parts = sorted({r[0] for r in wanted.collect()}) if terms else []
+    return lookup(spark.read.parquet(path).where(F.col("part").isin(parts)), key, " ".join(terms))
 
 
 def lookup(index: DataFrame, key: str, query: str) -> DataFrame:
@@ -85,7 +107,8 @@ def hybrid(
     matched terms, 1/(base + rank) from rank 1 on. Rows without a matched term have no
     text rank; rows without a usable vector no vector rank.
 
-    Ranks over the whole table need a total order. Only keys and scores take part in it.
+    Ranks over the whole table need a total order. Only keys and scores take part in it,
+    and they are numbered by ranges, not in one task.
     """
     d = vectors.l2_squared(F.col(vector), vectors.literal(near))
     scored = df.select(
@@ -93,8 +116,6 @@ def hybrid(
         F.when(F.size(vector) == len(near), d).alias("_d"),
         match_score([F.col(c) for c in columns], query).alias("_t"),
     )
-    by_vector = scored.where("_d is not null").select(key, F.row_number().over(Window.orderBy("_d", key)).alias("_r"))
-    by_text = scored.where("_t > 0").select(
-        key, F.row_number().over(Window.orderBy(F.desc("_t"), key)).alias("_r")
-    )
+    by_vector = numbered(scored.where("_d is not null").select(key, "_d"), [F.col("_d"), F.col(key)], "_r").select(key, "_r")
+    by_text = numbered(scored.where("_t > 0").select(key, "_t"), [F.desc("_t"), F.col(key)], "_r").select(key, "_r")
     return by_vector.unionAll(by_text).groupBy(key).agg(F.sum(1 / (base + F.col("_r"))).alias("score"))

@@ -8,6 +8,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from larkspur.session import cut, shuffle_width
+
 UNBOUNDED = None
 
 
@@ -72,6 +74,24 @@ def groups_frame(
     return ranked.select("*", *[a.over(frame).alias(n) for n, a in aggs.items()]).drop("_g")
 
 
+def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """ROW_NUMBER() OVER (ORDER BY ...) over the whole table without one task for all: rows
+    are placed by ranges of the order, numbered within each, and what the ranges before
+    hold is added. The placed rows are checkpointed, as they are counted first. Only a
+    count for each partition comes to the driver."""
+    width = shuffle_width(df.sparkSession)
+    placed = cut(df.repartitionByRange(width, *order).withColumn("_part", F.spark_partition_id()))
+    counts = dict(placed.groupBy("_part").count().collect())
+    if not counts:
+        return placed.drop("_part").withColumn(name, F.lit(0).cast("long"))
+    before, total = {}, 0
+    for part in sorted(counts):
+        before[part], total = total, total + counts[part]
+    offset = F.create_map(*[F.lit(x) for part, n in before.items() for x in (part, n)])[F.col("_part")]
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return placed.withColumn(name, own + offset).drop("_part")
+
+
 def top_per_group(df: DataFrame, groups: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
     """First k rows of each group; Spark keeps k rows a group before the shuffle."""
     rank = F.row_number().over(Window.partitionBy(*groups).orderBy(*order))

@@ -67,6 +67,22 @@ WHERE NOT EXISTS (
     AND ok.lo < i.lsn AND i.lsn <= ok.hi AND i.first_at <= ok.started_at)
 """
 
+#: States at one moment, with leases of six hours.
+P3_STATES = P3[: P3.index("SELECT i.origin, f.replica_id")] + """, moment AS (SELECT TIMESTAMP '{now}' AS t), held AS (
+  SELECT r[1] AS replica_id, r[2] AS origin, min(r[4]) AS lo FROM settled, moment
+  WHERE r[6] = 'running' AND r[3] <= t AND r[3] > t - INTERVAL {seconds} SECOND GROUP BY ALL
+), states AS (
+  SELECT i.origin, f.replica_id, CASE WHEN EXISTS (
+    SELECT 1 FROM ok WHERE ok.origin = i.origin AND ok.replica_id = f.replica_id
+      AND ok.lo < i.lsn AND i.lsn <= ok.hi AND i.first_at <= ok.started_at) THEN 'done'
+    WHEN i.lsn > h.lo THEN 'leased' ELSE 'pending' END AS state
+  FROM items i JOIN follows f USING (origin) LEFT JOIN held h ON h.origin = i.origin AND h.replica_id = f.replica_id
+)
+SELECT origin, replica_id, CAST(count_if(state = 'pending') AS BIGINT) AS pending, CAST(count_if(state = 'leased') AS BIGINT) AS leased,
+  CAST(count_if(state = 'done') AS BIGINT) AS done FROM states GROUP BY ALL
+"""
+NOW, LEASE = "2031-05-03 12:00:00", 3600 * 6
+
 
 def register(registry: Registry) -> None:
     @registry.add("p1_rolling", P1)
@@ -84,3 +100,8 @@ def register(registry: Registry) -> None:
     @registry.add("p3_found", P3)
     def _(spark, folder):
         return ledger.open_items(table(spark, folder, "write_events"), table(spark, folder, "repl_runs"))
+
+    @registry.add("p3_states", P3_STATES.format(now=NOW, seconds=LEASE))
+    def _(spark, folder):
+        events, runs = table(spark, folder, "write_events"), table(spark, folder, "repl_runs")
+        return ledger.item_states(events, runs, NOW, LEASE)

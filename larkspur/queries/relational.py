@@ -140,8 +140,6 @@ SQL: dict[str, tuple[str, str | None]] = {
         "SELECT c_custkey FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey)",
         None,
     ),
-    "anti_not_in_null_aware": ("SELECT id FROM {users} WHERE id NOT IN (SELECT user_id FROM {shop_orders})", None),
-    "anti_not_in": ("SELECT id FROM {users} WHERE id NOT IN (SELECT user_id FROM {shop_orders} WHERE user_id IS NOT NULL)", None),
     "anti_left_is_null": (
         "SELECT c_custkey FROM {customer} c LEFT JOIN {orders} o ON o.o_custkey = c.c_custkey WHERE o.o_orderkey IS NULL AND c_acctbal > 0",
         None,
@@ -212,6 +210,8 @@ SQL: dict[str, tuple[str, str | None]] = {
 }
 
 OPERATORS = {
+    "anti_not_in_null_aware": "SELECT id FROM users WHERE id NOT IN (SELECT user_id FROM shop_orders)",
+    "anti_not_in": "SELECT id FROM users WHERE id NOT IN (SELECT user_id FROM shop_orders WHERE user_id IS NOT NULL)",
     "join_natural": "SELECT count(*) AS n FROM (SELECT n_nationkey AS k, n_name FROM nation) NATURAL JOIN (SELECT s_nationkey AS k, s_name FROM supplier)",
     "join_using_full": "SELECT k, a, b FROM (SELECT c_nationkey AS k, count(*) AS a FROM customer WHERE c_nationkey < 15 GROUP BY 1) "
     "FULL JOIN (SELECT s_nationkey AS k, count(*) AS b FROM supplier WHERE s_nationkey > 5 GROUP BY 1) USING (k)",
@@ -226,6 +226,15 @@ def register(registry: Registry) -> None:
     for name, (text, oracle) in SQL.items():
         registry.sql(name, text, oracle)
 
+    @registry.add("anti_not_in_null_aware", OPERATORS["anti_not_in_null_aware"])
+    def _(spark, folder):
+        return joins.not_in(table(spark, folder, "users").select("id"), table(spark, folder, "shop_orders"), "id", "user_id")
+
+    @registry.add("anti_not_in", OPERATORS["anti_not_in"])
+    def _(spark, folder):
+        known = table(spark, folder, "shop_orders").where("user_id IS NOT NULL")
+        return joins.not_in(table(spark, folder, "users").select("id"), known, "id", "user_id")
+
     @registry.add("join_natural", OPERATORS["join_natural"])
     def _(spark, folder):
         a = table(spark, folder, "nation").select(F.col("n_nationkey").alias("k"), "n_name")

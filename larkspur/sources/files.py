@@ -35,10 +35,13 @@ def load_delimited(
         raw = reader.option("header", True).option("enforceSchema", True).csv(path)
     elif ignore_lines:
         text = spark.read.option("lineSep", lines or "\n").text(path)
-        # The line's place in its file: only the first block of a file holds its head.
-        text = text.select("value", F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"), F.spark_partition_id().alias("_p"))
-        first = text.groupBy("_p").agg(F.min("_i").alias("_f"))
-        kept = text.join(first, "_p").where((F.col("_b") > 0) | (F.col("_i") - F.col("_f") >= ignore_lines))
+        # The line's place in its file: only the first block of a file holds its head, and
+        # its lines are numbered one after the other, whatever files a task reads.
+        text = text.select(
+            "value", F.col("_metadata.file_path").alias("_p"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i")
+        )
+        first = text.where("_b = 0").groupBy("_p").agg(F.min("_i").alias("_f"))
+        kept = text.join(first, "_p", "left").where((F.col("_b") > 0) | (F.col("_i") - F.col("_f") >= ignore_lines))
         options = {"sep": terminated, "nullValue": "\\N", "escape": escaped, "quote": enclosed or "\0"}
         raw = kept.select(F.from_csv("value", fields.simpleString()[7:-1].replace(":", " "), options).alias("r")).select("r.*")
     else:

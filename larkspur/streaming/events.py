@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,11 +40,30 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours")
     )
 
 
-def apply_changes(batches: DataFrame, state_path: str, apply, checkpoint: str):
-    """Run ``apply(batch, epoch)`` for each micro-batch; the epoch number makes a repeated
-    batch overwrite its own output, so a restart neither skips nor repeats."""
+def _epochs(spark: SparkSession, state_path: str) -> list[int]:
+    """Numbers of the states that are written whole."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(state_path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path(state_path)):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(path(state_path))]
+    return sorted(int(n[6:]) for n in names if n.startswith("epoch=") and fs.exists(path(f"{state_path}/{n}/_SUCCESS")))
+
+
+def state(spark: SparkSession, state_path: str, before: int | None = None) -> DataFrame | None:
+    """The latest whole state, of those before an epoch if one is given."""
+    known = [e for e in _epochs(spark, state_path) if before is None or e < before]
+    return spark.read.parquet(f"{state_path}/epoch={known[-1]}") if known else None
+
+
+def apply_changes(batches: DataFrame, state_path: str, fold: Callable[[DataFrame | None, DataFrame], DataFrame], checkpoint: str):
+    """Fold each micro-batch into the state: ``fold(state before, batch)`` gives the state
+    after it (before the first there is none). A state is written under the number of its
+    epoch from the one before, so a batch that is repeated after a failure overwrites its
+    own result and nothing is applied twice or skipped."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        apply(batch, epoch).write.mode("overwrite").parquet(f"{state_path}/epoch={epoch}")
+        before = state(batch.sparkSession, state_path, epoch)
+        fold(before, batch).write.mode("overwrite").parquet(f"{state_path}/epoch={epoch}")
 
     return batches.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -8,6 +8,7 @@ from decimal import Decimal
 
 import pytest
 
+from larkspur.operators import ledger
 from larkspur.operators.changes import current_state, replay
 from larkspur.operators.ledger import StaleLease, WorkLedger, item_states, open_items
 from larkspur.operators.rolling import rolling_totals
@@ -138,7 +139,7 @@ def test_replay_across_arrow_batches(spark):
     assert small == sorted(map(tuple, current_state(df).collect()))
 
 
-def test_open_items_matches_brute_force(spark):
+def test_open_items_matches_brute_force(spark, monkeypatch):
     rng = random.Random(3)
     items = [(i, T0 + timedelta(minutes=rng.randint(0, 500)), o, rng.choice([None, *range(1, 400)]), None, None) for i in range(900) for o in (1, 2)]
     runs = []
@@ -151,7 +152,9 @@ def test_open_items_matches_brute_force(spark):
             log.insert(1, (run, replica, origin, started, lo, end, "ok", started + timedelta(seconds=30)))
         runs += log + log[:1]
     rng.shuffle(runs)
-    got = {tuple(r) for r in open_items(spark.createDataFrame(items, EVENTS), spark.createDataFrame(runs, RUNS), bucket=16, salts=3).collect()}
+    monkeypatch.setattr(ledger, "BUCKET", 4)
+    monkeypatch.setattr(ledger, "SPAN", 4)
+    got = {tuple(r) for r in open_items(spark.createDataFrame(items, EVENTS), spark.createDataFrame(runs, RUNS)).collect()}
     last: dict = {}
     for r in runs:
         if r[0] not in last or r[7] > last[r[0]][7]:
@@ -190,22 +193,34 @@ def test_item_states(spark):
     assert (expired.pending, expired.leased, expired.done) == (6, 0, 4)
 
 
+def test_ranges_of_any_length(spark):
+    """A run over ten billion LSNs is cut into few wide buckets beside narrow ones."""
+    items = spark.createDataFrame([(i, T0, 1, n, None, None) for i, n in enumerate([1, 5, 300, 10**9, 9 * 10**9, 10**10, 10**10 + 1])], EVENTS)
+    at = T0 + timedelta(hours=1)
+    runs = spark.createDataFrame(
+        [(1, 7, 1, at, 3, 10**10, "ok", at), (2, 7, 1, at, 10**10, 10**10 + 5, "failed", at), (3, 8, 1, at, 0, 5, "ok", at)], RUNS
+    )
+    assert ledger._cut_ranges(spark.createDataFrame([(1, 7, 3, 10**10, at)], "origin int, replica_id int, _lo long, _hi long, _at timestamp_ntz")).count() < 70
+    got = sorted(tuple(r) for r in open_items(items, runs).collect())
+    assert got == [(1, 7, 1), (1, 7, 10**10 + 1), *[(1, 8, n) for n in (300, 10**9, 9 * 10**9, 10**10, 10**10 + 1)]]
+
+
 def test_ledger_leases_and_fences(tmp_path, spark):
-    ledger = WorkLedger(str(tmp_path), lease_seconds=10)
-    first = ledger.lease("a", now=0)
-    assert first and ledger.lease("a", now=5) is None
-    second = ledger.lease("a", now=11)
+    book = WorkLedger(spark, str(tmp_path), lease_seconds=10)
+    first = book.lease("a", now=0)
+    assert first and book.lease("a", now=5) is None
+    second = book.lease("a", now=11)
     assert second and second.token > first.token
     with pytest.raises(StaleLease):
-        ledger.finish(first)
-    ledger.finish(second)
-    assert ledger.state("a", 12)[0] == "done" and ledger.lease("a", 99) is None
-    assert ledger.process("b", spark.range(3), now=0) and not ledger.process("b", spark.range(9), now=1)
-    assert spark.read.parquet(ledger.path("b")).count() == 3
+        book.finish(first)
+    book.finish(second)
+    assert book.state("a", 12)[0] == "done" and book.lease("a", 99) is None
+    assert book.process("b", spark.range(3), now=0) and not book.process("b", spark.range(9), now=1)
+    assert spark.read.parquet(book.path("b")).count() == 3
 
 
 def test_ledger_keeps_done_output_from_a_late_holder(tmp_path, spark):
-    ledger = WorkLedger(str(tmp_path), lease_seconds=10)
+    book = WorkLedger(spark, str(tmp_path), lease_seconds=10)
 
     class Late:
         """A frame that takes so long that another holder is done before it writes."""
@@ -216,9 +231,9 @@ def test_ledger_keeps_done_output_from_a_late_holder(tmp_path, spark):
             return self
 
         def parquet(self, path):
-            assert ledger.process("c", spark.range(3), now=11)
+            assert book.process("c", spark.range(3), now=11)
             spark.range(9).write.mode("overwrite").parquet(path)
 
     with pytest.raises(StaleLease):
-        ledger.process("c", Late(), now=0)
-    assert spark.read.parquet(ledger.path("c")).count() == 3
+        book.process("c", Late(), now=0)
+    assert spark.read.parquet(book.path("c")).count() == 3

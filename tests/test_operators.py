@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import datetimes as D
 from larkspur.functions import jsons as J
+from larkspur.functions import maths as M
 from larkspur.functions import semantics as S
 from larkspur.functions import strings as T
 from larkspur.operators import aggregates as A
@@ -180,6 +181,8 @@ def test_materialized_view_refreshes(spark, tmp_path):
     assert view.read().first().n == 3 and not view.stale()
     spark.range(2).write.mode("append").parquet(source)
     assert view.stale() and view.read().first().n == 5
+    uri = dml.MaterializedView(spark, f"file://{tmp_path}/u", {"t": f"file://{source}"}, "SELECT count(*) AS n FROM {t}")
+    assert uri.stale() and uri.read().first().n == 5 and not uri.stale()
 
 
 def test_load_delimited(spark, tmp_path):
@@ -194,6 +197,62 @@ def test_load_delimited(spark, tmp_path):
     assert files.columns_view({"t": df}, spark).where("column_name = 'v'").first().data_type == "double"
 
 
+def test_head_lines_of_many_files(spark, tmp_path):
+    for i in range(16):
+        (tmp_path / f"{i}.txt").write_text(f"head\nsecond\n{i},a\n{i},b\n")
+    df = files.load_delimited(spark, str(tmp_path), "id int, t string", ",", lines="\n", ignore_lines=2)
+    assert sorted(tuple(r) for r in df.collect()) == sorted((i, t) for i in range(16) for t in "ab")
+
+
+def test_numbers_without_one_task(spark):
+    df = spark.range(1000).selectExpr("id", "id * 7919 % 1000 AS v")
+    out = W.numbered(df, [F.col("v").desc()], "n")
+    assert all(r.n == 1000 - r.v for r in out.collect()) and out.count() == 1000
+    assert W.numbered(df.where("id < 0"), [F.col("v")], "n").count() == 0
+
+
+def test_not_in(spark):
+    left = spark.createDataFrame([(1,), (2,), (None,)], "a int")
+    right = spark.createDataFrame([(1,), (None,)], "b int")
+    assert joins.not_in(left, right, "a", "b").count() == 0
+    assert [r.a for r in joins.not_in(left, right.where("b is not null"), "a", "b").collect()] == [2]
+    assert joins.not_in(left, right.where("b > 5"), "a", "b").count() == 3
+
+
+def test_stored_fulltext_index(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "Red foxes"), (2, "a fox and a fox"), (3, None)], "id int, body string")
+    place = search.write_index(docs, "id", ["body"], str(tmp_path / "i"), stem=True)
+    assert {r.id: r.score for r in search.read_index(spark, place, "id", "fox red", stem=True).collect()} == {1: 2, 2: 1}
+    assert search.read_index(spark, place, "id", "none").count() == 0
+
+
+def test_plans_have_no_single_task_or_unsized_broadcast(spark):
+    """What the texts of the plans must not show."""
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    users, orders = spark.range(100).toDF("id"), spark.range(300).toDF("user_id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "BroadcastHashJoin" not in plan(joins.not_in(users, orders, "id", "user_id"))
+        assert "Expand" not in plan(dml.column_statistics(users.selectExpr("id", "id % 3 AS k"), ["id", "k"]))
+        top = A.facet(users.selectExpr("id % 7 AS g", "id % 5 AS v"), ["g"], "v", 2)
+        assert "WindowGroupLimit" in plan(top)
+        docs = users.selectExpr("id", "'red' AS body", "array(float(id)) AS v")
+        assert "SinglePartition" not in plan(search.hybrid(docs, "id", ["body"], "red", "v", [1.0]))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_exact_limits_of_numbers(spark):
+    wide = F.lit("18446744073709551615").cast("decimal(20,0)")
+    row = one(spark, S.divide(F.lit(10), F.lit("2.5").cast("decimal(3,1)")), S.to_unsigned(wide), S.round_to_signed(F.lit(1e19)), M.truncate(F.lit(1e30), 2), M.truncate(F.lit(-12.78), 1))
+    assert (float(row[0]), int(row[1]), row[2], row[3], row[4]) == (4.0, 18446744073709551615, None, 1e30, -12.7)
+    texts = one(spark, J.keys(F.lit('{"a\\"b": 1}')), J.quote(F.lit(None).cast("string")), J.extract(F.lit('{"a": 1.10}'), "$.a"), J.extract(F.lit("NaN"), "$"))
+    assert texts == ('["a\\"b"]', None, "1.10", None)
+
+
 def test_streaming_matches_batch(spark, tmp_path):
     rows = [(i, datetime(2030, 1, 1, i % 5, i), i % 3, "click", float(i)) for i in range(50)]
     place = tmp_path / "events.parquet"
@@ -206,10 +265,20 @@ def test_streaming_matches_batch(spark, tmp_path):
         running.awaitTermination()
         assert running.exception() is None
     assert sum(r.n for r in spark.table("w").collect()) == 50
-    state = str(tmp_path / "state")
-    changes = streams.apply_changes(stream, state, lambda b, e: b.groupBy("user_id").count(), str(tmp_path / "c"))
-    changes.awaitTermination()
-    assert spark.read.parquet(state).agg(F.sum("count")).first()[0] == 50
+    place = str(tmp_path / "state")
+
+    def fold(before, batch):
+        new = batch.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+        both = new if before is None else before.unionByName(new)
+        return both.groupBy("user_id").agg(F.sum("n").alias("n"))
+
+    for more in range(2):
+        streams.apply_changes(stream, place, fold, str(tmp_path / "c")).awaitTermination()
+        assert streams.state(spark, place).agg(F.sum("n")).first()[0] == 50 * (more + 1)
+        df.write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    # A batch that is run again gives the same state.
+    fold(streams.state(spark, place, 1), df).write.mode("overwrite").parquet(f"{place}/epoch=1")
+    assert streams.state(spark, place).agg(F.sum("n")).first()[0] == 100
 
 
 D4, D8 = Decimal("3.5000"), Decimal("18446744073709551615")
