@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from larkspur.plans import frontend
+from larkspur.plans.database import Database
 from larkspur.registry import Registry
-from larkspur.session import table
+from larkspur.session import scratch, table
 
 #: name: (statement, tables, oracle)
 STATEMENTS: dict[str, tuple[str, tuple[str, ...], str]] = {
@@ -155,9 +156,71 @@ STATEMENTS: dict[str, tuple[str, tuple[str, ...], str]] = {
 }
 
 
+#: name: (statements of which the last is a query, tables, oracle)
+CHANGES: dict[str, tuple[tuple[str, ...], tuple[str, ...], str]] = {
+    "sql_upsert": (
+        (
+            "DROP TABLE IF EXISTS c",
+            "CREATE TABLE c (k BIGINT PRIMARY KEY, name VARCHAR(60), bal DOUBLE DEFAULT 0)",
+            "INSERT INTO c SELECT c_custkey, c_name, c_acctbal FROM customer",
+            "INSERT INTO c (k, name, bal) SELECT c_custkey * 2, 'new', 1 FROM customer ON DUPLICATE KEY UPDATE name = CONCAT(name, '/', VALUES(name)), bal = bal + 1",
+            "INSERT IGNORE INTO c (k, name) SELECT c_custkey * 3, 'ignored' FROM customer",
+            "REPLACE INTO c (k, name) VALUES (1, 'one'), (-1, 'minus')",
+            "SELECT k, name, bal FROM c",
+        ),
+        ("customer",),
+        "WITH t AS (SELECT c_custkey AS k, c_name AS name, c_acctbal AS bal FROM customer), u AS (SELECT c_custkey * 2 AS k FROM customer), "
+        "a AS (SELECT t.k, CASE WHEN u.k IS NULL THEN t.name ELSE t.name || '/new' END AS name, CASE WHEN u.k IS NULL THEN t.bal ELSE t.bal + 1 END AS bal FROM t LEFT JOIN u USING (k) "
+        "UNION ALL SELECT k, 'new', 1 FROM u WHERE k NOT IN (SELECT k FROM t)), "
+        "b AS (FROM a UNION ALL SELECT c_custkey * 3, 'ignored', 0 FROM customer WHERE c_custkey * 3 NOT IN (SELECT k FROM a)) "
+        "SELECT * FROM b WHERE k NOT IN (1, -1) UNION ALL VALUES (1, 'one', 0), (-1, 'minus', 0)",
+    ),
+    "sql_update_joined": (
+        (
+            "DROP TABLE IF EXISTS o",
+            "CREATE TABLE o AS SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders",
+            "UPDATE o JOIN customer ON o_custkey = c_custkey SET o_totalprice = c_custkey, o_orderstatus = 'x' WHERE c_mktsegment = 'building' AND o_orderstatus = 'f'",
+            "UPDATE o SET o_custkey = -1 ORDER BY o_orderkey DESC LIMIT 10",
+            "SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM o",
+        ),
+        ("orders", "customer"),
+        "WITH hit AS (SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' AND o_orderstatus = 'F'), "
+        "late AS (SELECT o_orderkey FROM orders ORDER BY o_orderkey DESC LIMIT 10) "
+        "SELECT o_orderkey, CASE WHEN o_orderkey IN (FROM late) THEN -1 ELSE o_custkey END AS o_custkey, CASE WHEN o_orderkey IN (FROM hit) THEN o_custkey ELSE o_totalprice END AS o_totalprice, "
+        "CASE WHEN o_orderkey IN (FROM hit) THEN 'x' ELSE o_orderstatus END AS o_orderstatus FROM orders",
+    ),
+    "sql_delete_joined": (
+        (
+            "DROP TABLE IF EXISTS p",
+            "CREATE TABLE p AS SELECT p_partkey, p_size FROM part",
+            "DELETE a FROM p AS a JOIN lineitem ON a.p_partkey = l_partkey WHERE l_quantity > 45",
+            "DELETE FROM p WHERE p_size > 40 ORDER BY p_partkey LIMIT 5",
+            "ALTER TABLE p ADD COLUMN double_size BIGINT",
+            "UPDATE p SET double_size = p_size * 2",
+            "SELECT p_partkey, double_size FROM p",
+        ),
+        ("part", "lineitem"),
+        "WITH kept AS (SELECT p_partkey, p_size FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)), "
+        "gone AS (SELECT p_partkey FROM kept WHERE p_size > 40 ORDER BY p_partkey LIMIT 5) "
+        "SELECT p_partkey, CAST(p_size * 2 AS BIGINT) AS double_size FROM kept WHERE p_partkey NOT IN (FROM gone)",
+    ),
+}
+
+
 def register(registry: Registry) -> None:
     for name, (statement, tables, oracle) in STATEMENTS.items():
         _add(registry, name, statement, tables, oracle)
+    for name, (statements, tables, oracle) in CHANGES.items():
+        _changes(registry, name, statements, tables, oracle)
+
+
+def _changes(registry: Registry, name: str, statements: tuple[str, ...], tables: tuple[str, ...], oracle: str) -> None:
+    @registry.add(name, oracle)
+    def _(spark, folder):
+        base = Database(spark, scratch(spark, folder, name), {t: table(spark, folder, t) for t in tables})
+        for statement in statements[:-1]:
+            base.run(statement)
+        return base.run(statements[-1])
 
 
 def _add(registry: Registry, name: str, statement: str, tables: tuple[str, ...], oracle: str) -> None:

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
-import os
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.operators import dml, search
 from larkspur.plans import frontend
 from larkspur.registry import Registry
-from larkspur.session import table
+from larkspur.session import scratch, table
 from larkspur.streaming import events as streams
 
 SQL_QUERY = "list_transform(range(0, len(embedding)), lambda i: CAST((i * 37) % 17 - 8 AS DOUBLE) / 10)"
@@ -75,13 +72,6 @@ STATEMENTS: dict[str, tuple[str, tuple[str, ...], str]] = {
 }
 
 
-def _scratch(spark, folder: str, name: str) -> str:
-    """A place for a table we write ourselves, in the shared folder where one is named."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file:///tmp/larkspur-{os.getpid()}"
-    mark = hashlib.sha256(f"{folder} {name}".encode()).hexdigest()[:12]
-    return f"{base}/{name}-{mark}"
-
-
 def register(registry: Registry) -> None:
     for name, (statement, tables, oracle) in STATEMENTS.items():
         _statement(registry, name, statement, tables, oracle)
@@ -223,7 +213,7 @@ def register(registry: Registry) -> None:
         "SELECT o_orderstatus, count(*) AS n, min(o_orderkey) AS lo FROM orders WHERE o_orderstatus IN ('F', 'P') GROUP BY o_orderstatus",
     )
     def _(spark, folder) -> DataFrame:
-        place = _scratch(spark, folder, "orders_by_status")
+        place = scratch(spark, folder, "orders_by_status")
         rows = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus")
         rows.repartition("o_orderstatus", F.pmod("o_orderkey", F.lit(8))).sortWithinPartitions("o_orderkey").write.mode(
             "overwrite"
@@ -238,9 +228,9 @@ def register(registry: Registry) -> None:
     def _(spark, folder) -> DataFrame:
         sources = {t: f"{folder}/{t}.parquet" for t in ("customer", "nation")}
         text = "SELECT n_regionkey, count(*) AS n FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey GROUP BY n_regionkey"
-        view = dml.MaterializedView(spark, _scratch(spark, folder, "customers_by_region"), sources, text)
-        view.refresh()
-        return spark.read.parquet(f"{view.folder}/{view.fingerprint()}")
+        view = dml.MaterializedView(spark, scratch(spark, folder, "customers_by_region"), sources, text)
+        view.read()
+        return view.read()
 
     @registry.add(
         "stream_buckets_batch",

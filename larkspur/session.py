@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import zipfile
@@ -62,6 +63,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession, folder: str, name: str) -> str:
+    """A place for a table we write ourselves, in the shared folder where one is named."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file:///tmp/larkspur-{os.getpid()}"
+    mark = hashlib.sha256(f"{folder} {name}".encode()).hexdigest()[:12]
+    return f"{base}/{name}-{mark}"
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python once per context, so that they need no
     installation and no common working directory."""
