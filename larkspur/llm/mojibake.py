@@ -12,6 +12,7 @@ only failed decoding leaves (U+FFFD, C1 controls) are cases by themselves.
 from __future__ import annotations
 
 import codecs
+import html
 import re
 import unicodedata
 from collections import Counter
@@ -38,12 +39,21 @@ WEIGHT = 100
 #: the lexicon; another by a chain from a multi-byte encoding; another by one code page
 #: read as another, where any bytes decode.
 MARGIN_KNOWN, MARGIN, MARGIN_PAGE = 2.0, 7.0, 14.0
+#: The same for a word of a code page that no document of the sample holds and that becomes
+#: one that at least OFTEN of them hold.
+MARGIN_OFTEN, OFTEN = 4.0, 5
 CACHE = 1 << 20
 MARKS = re.compile("[�\x80-\x84\x86-\x9f]")
 
+#: References to characters, behind which garbled ones may stand.
+REFERENCE = re.compile(r"&(?:#[0-9]{2,7}|#[xX][0-9a-fA-F]{2,6}|[A-Za-z]{2,31}[0-9]{0,2});")
+
 #: Letters of two alphabets side by side, which no restored word has.
 MIXED = re.compile("[A-Za-zÀ-ɏ][Ѐ-ӿ]|[Ѐ-ӿ][A-Za-zÀ-ɏ]")
 C1 = re.compile("[\x80-\x9f]")
+ASCII = re.compile("[0-9A-Za-z]")
+#: Texts that may be cases: others are ASCII without references.
+SUSPECT = r"[^\x00-\x7f]|&[#A-Za-z][0-9A-Za-z]+;"
 LETTERS = re.compile(r"[^\W\d_]+")
 
 U = "utf-8"
@@ -102,6 +112,13 @@ CHAINS: tuple[tuple[tuple[str, str], ...], ...] = (
 CLEAN = len(CHAINS)
 
 
+def referred(text: str) -> str:
+    """The text with the characters that its references stand for, but for ASCII."""
+    if "&" not in text:
+        return text
+    return REFERENCE.sub(lambda m: m[0] if (c := html.unescape(m[0])).isascii() else c, text)
+
+
 @cache
 def _table(encoding: str) -> tuple[dict[int, int], str]:
     """Single-byte code page with the bytes it leaves undefined read as C1 controls, as
@@ -225,6 +242,8 @@ class Classifier:
                 known[form] += n
         self.lexicon = frozenset(w for w, n in known.items() if n > 1)
         self.common = frozenset(w for w, n in classes[CLEAN].items() if n > 1)
+        self.often = frozenset(w for w, n in classes[CLEAN].items() if n >= OFTEN)
+        self.held = frozenset(classes[CLEAN])
         counts = np.zeros((BUCKETS, len(classes)), np.float64)
         for k, words in enumerate(classes):
             if words:
@@ -421,6 +440,9 @@ class Judge:
 
     def _margin(self, chain: int, word: str, restored: str) -> float:
         letters = core(restored)
+        # A symbol beside letters or digits, or a short word, read in another code page.
+        if PAGE[chain] and restored in self.model.often and word not in self.model.held and (len(letters) > 1 or ASCII.search(word)):
+            return MARGIN_OFTEN
         if PAGE[chain] and (len(letters) < 3 or core(word) in self.model.lexicon):
             return float("inf")
         if (restored in self.model.lexicon or letters in self.model.lexicon) and (
@@ -434,7 +456,7 @@ class Judge:
     def slab(self, texts: list[str]) -> np.ndarray:
         """True for each text with a garbled word. Words are found by whole-array
         operations; each different word is judged once."""
-        slab = Slab(texts)
+        slab = Slab([referred(t) for t in texts])
         p = slab.points
         high = np.flatnonzero(p > 127)
         flags = np.zeros(len(texts), bool)
@@ -470,6 +492,7 @@ class Judge:
         """The text with its garbled words restored, the chains used, and how many places
         (words, or within words that don't decode as a whole runs of characters) could
         not be restored."""
+        text = self._open(text)
         spans = [m.span() for m in WORD.finditer(text)]
         words = [text[a:b] for a, b in spans]
         verdicts = self.words([DIGIT.sub("0", w) for w in words])
@@ -497,6 +520,18 @@ class Judge:
             at = b
         return "".join([*out, text[at:]]), sorted(used), lost
 
+    def _open(self, text: str) -> str:
+        """The text with the references of its garbled words opened; others stay."""
+        if "&" not in text:
+            return text
+        runs = re.split("([ \t\r\n]+)", text)
+        opened = {i: r for i, run in enumerate(runs) if "&" in run and (r := referred(run)) != run}
+        pieces = [(i, p) for i, r in opened.items() for p in _words(r)]
+        for (i, _), v in zip(pieces, self.words([p for _, p in pieces])):
+            if v is not None:
+                runs[i] = opened[i]
+        return "".join(runs)
+
     def _parts(self, words: list[str], verdicts: list) -> dict[int, tuple[int, None]]:
         """Verdicts on the words that hold marks, or are too long to be judged whole, by
         the chain of most of their pieces between U+FFFD."""
@@ -629,7 +664,8 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text") -> Classifier:
 def find_garbled(df: DataFrame, key: str = "doc_id", text: str = "text", model: Classifier | None = None) -> DataFrame:
     """``key`` of every row whose text holds garbled characters, be it in one word.
 
-    NULL, empty and ASCII texts are no case; a repeated row comes as often as it
+    Characters behind references (``&#195;``) count. NULL and empty texts and those of
+    ASCII without references are no case; a repeated row comes as often as it
     stands. Whole texts are read. Other columns are ignored. There is no shuffle,
     unless the table is read in fewer pieces than there are cores; the classifier (a
     table of fixed size) is broadcast.
@@ -645,7 +681,7 @@ def find_garbled(df: DataFrame, key: str = "doc_id", text: str = "text", model:
                 flags = judge.slab(texts[lo:hi])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).filter(pa.array(flags))], ["key"])
 
-    narrow = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("text").rlike(r"[^\x00-\x7f]"))
+    narrow = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("text").rlike(SUSPECT))
     kind = narrow.schema["key"].dataType.simpleString()
     return spread(narrow).mapInArrow(run, f"key {kind}").withColumnRenamed("key", key)
 
@@ -675,7 +711,7 @@ def restore_garbled(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
                     ["key", "restored", "chains", "lost"],
                 )
 
-    narrow = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("text").rlike(r"[^\x00-\x7f]"))
+    narrow = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("text").rlike(SUSPECT))
     kind = narrow.schema["key"].dataType.simpleString()
     schema = f"key {kind}, restored string, chains array<string>, lost long"
     return spread(narrow).mapInArrow(run, schema).withColumnRenamed("key", key)

@@ -100,6 +100,45 @@ def test_leaks_whole_part_and_edited(spark):
     assert leak(spark, docs[8:10]) == []
 
 
+def test_symbols_and_references(model):
+    """One symbol in a word that is common otherwise, and characters behind references."""
+    often = mojibake.train([f"at 12 °C the valve’s {i}–{i + 3} µm gap" + (" naïve" if i == 3 else "") for i in range(40)] + CLEAN * 3)
+    judge = mojibake.Judge(often)
+    for clean, chain in (("12 °C", (("cp850", "cp1252"),)), ("valve’s", (("cp1252", "mac_roman"),)), ("7–9", (("cp1252", "cp437"),))):
+        bad = mojibake.garble(clean, chain)
+        assert judge.slab([bad, clean]).tolist() == [True, False] and judge.restore(f"see {bad} here")[0] == f"see {clean} here"
+    bad = "a&#226;&#8364;&#8220;b and &lt;p&gt; at 5 &#176;C"
+    assert judge.slab([bad, "at 5 &#176;C &lt;b&gt; &#8211; &eacute;t&eacute;"]).tolist() == [True, False]
+    assert judge.restore(bad)[0] == "a–b and &lt;p&gt; at 5 &#176;C"
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001/documents.parquet"), reason="no test data here")
+def test_planted_words_are_found_and_restored():
+    """Words of documents that the model wasn't trained on, garbled by every chain."""
+    import pyarrow.parquet as pq
+
+    rows = pq.read_table("/root/testdata/sf0.01/documents.parquet").select(["doc_id", "text"]).to_pylist()
+    texts = [r["text"] for r in sorted(rows, key=lambda r: r["doc_id"]) if r["text"]]
+    judge = mojibake.Judge(mojibake.train([t[: mojibake.TRAIN_CHARS] for t in texts[::2]]))
+    held = [t for t, bad in zip(texts[1::2], judge.slab(texts[1::2])) if not bad]
+    rng = random.Random(3)
+    tried = found = exact = restored = 0
+    for text in held[:150]:
+        words = [w for w in dict.fromkeys(mojibake.WORD.findall(text)) if 1 < len(w) < 30]
+        for word in rng.sample(words, min(1, len(words))):
+            for chain in mojibake.CHAINS:
+                bad = mojibake.garble(word, chain)
+                if bad is None or bad == word or mojibake.WORD.fullmatch(bad) is None:
+                    continue
+                tried += 1
+                verdict = judge.words([mojibake.DIGIT.sub("0", bad)])[0]
+                found += verdict is not None
+                if mojibake.invert(bad, chain) == word:
+                    exact += 1
+                    restored += judge.restore(f"x {bad} y")[0] == f"x {word} y"
+    assert tried > 1000 and found >= 0.95 * tried and restored >= 0.9 * exact
+
+
 def test_short_and_repetitive_items(spark):
     """An item of four words, of one, and one that repeats itself (9 different words)."""
     items = [
