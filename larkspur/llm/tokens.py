@@ -1,14 +1,16 @@
 """Encoding of texts by a public byte-level BPE vocabulary.
 
-Words are cut by a scan over code-point classes: whether a token starts at a character
-follows from its class and those of its neighbours, so all boundaries of a slab of texts
-come from a few whole-array operations. Equal slices are encoded once and then found
-by hash.
+Words are cut by a scan over code-point classes. Each class sets the state of the cutter
+whatever it was before, so the transition functions of any run compose to that of its
+last characters, and the scan over them comes down to comparisons with neighbours: all
+boundaries of a slab of texts come from a few whole-array operations. Equal slices are
+merged once, many at a time, and then found by hash.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 from collections.abc import Iterator
 from functools import cache
 from pathlib import Path
@@ -28,6 +30,8 @@ CACHE = 1 << 20
 APOSTROPHE, BLANK = ord("'"), ord(" ")
 #: The endings that the vocabulary's pattern cuts after an apostrophe.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
+#: Rank of a pair that isn't in the vocabulary.
+NONE = np.int64(1 << 40)
 
 
 def boundaries(slab: Slab) -> np.ndarray:
@@ -59,54 +63,157 @@ def boundaries(slab: Slab) -> np.ndarray:
     start |= before_word
     quote = np.flatnonzero((p == APOSTROPHE) & start & ~last)
     if len(quote):
-        joined, ends = slab.joined, slab.starts[np.searchsorted(slab.starts, quote, "right")]
-        for at, end in zip(quote.tolist(), ends.tolist()):
-            for ending in ENDINGS:
-                stop = at + 1 + len(ending)
-                if stop <= end and joined.startswith(ending, at + 1):
-                    start[at + 1 : stop] = False
-                    if stop < end and not (space[stop] or start[stop]):
-                        start[stop] = True
-                    break
+        # Characters after the apostrophe within its text, 0 beyond.
+        follow = [np.append(p, [0, 0, 0])[quote + 1], np.append(p, [0, 0, 0])[quote + 2]]
+        follow[1] = np.where(last[quote + 1], 0, follow[1])
+        length = np.zeros(len(quote), np.int64)
+        for ending in reversed(ENDINGS):
+            same = follow[0] == ord(ending[0])
+            if len(ending) > 1:
+                same &= follow[1] == ord(ending[1])
+            length[same] = len(ending)
+        quote, length = quote[length > 0], length[length > 0]
+        start[quote + 1] = False
+        start[quote[length > 1] + 2] = False
+        stop = quote + 1 + length
+        stop = stop[(stop < n) & ~first[np.minimum(stop, n - 1)]]
+        start[stop] |= ~space[stop]
     return start
 
 
-@cache
-def _core(path: str):
-    """Pair merging of one slice of bytes, by the ranks of a vocabulary file."""
-    import tiktoken
+class Merger:
+    """Pair merging by the ranks of a vocabulary file: of a slice's neighbouring tokens the
+    pair of the lowest rank is merged, everywhere in the slice, until no pair has one.
+    Many slices go at once, one round of merges after the other; long ones one by one."""
+
+    #: Bytes up to which a slice is merged together with others.
+    SHORT = 64
+
+    def __init__(self, path: str):
+        lines = Path(path).read_bytes().splitlines()
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line)}
+        self.ranks = ranks
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        #: Bytes of each id.
+        self.size = np.zeros(max(ranks.values()) + 1, np.int64)
+        pairs: dict[int, int] = {}
+        for token, rank in ranks.items():
+            self.size[rank] = len(token)
+            for i in range(1, len(token)):
+                left, right = ranks.get(token[:i]), ranks.get(token[i:])
+                if left is not None and right is not None:
+                    pairs[left << 32 | right] = rank
+        self.pair = np.array(sorted(pairs), np.int64)
+        self.rank = np.array([pairs[k] for k in self.pair.tolist()], np.int64)
+        self.pairs = pairs
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+        return np.where(self.pair[at] == key, self.rank[at], NONE)
 
-    lines = Path(path).read_bytes().splitlines()
-    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line)}
-    core = tiktoken.Encoding("own", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})._core_bpe
-    return core.encode_single_piece
+    def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all slices end to end, and how many each has."""
+        whole = [self.ranks.get(p) for p in pieces]
+        done: dict[int, list[int]] = {i: [r] for i, r in enumerate(whole) if r is not None}
+        rest = [i for i, r in enumerate(whole) if r is None]
+        done |= {i: self._long(pieces[i]) for i in rest if len(pieces[i]) > self.SHORT}
+        short = [i for i in rest if i not in done]
+        for i, ids in zip(short, self._short([pieces[i] for i in short])):
+            done[i] = ids
+        lengths = np.fromiter((len(done[i]) for i in range(len(pieces))), np.int64, len(pieces))
+        return np.fromiter((x for i in range(len(pieces)) for x in done[i]), np.int64, int(lengths.sum())), lengths
+
+    def _short(self, pieces: list[bytes]) -> list[list[int]]:
+        if not pieces:
+            return []
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        ids = self.single[np.frombuffer(b"".join(pieces), np.uint8)]
+        owner = np.repeat(np.arange(len(pieces)), lengths)
+        finished: list[tuple[np.ndarray, np.ndarray]] = []
+        rank = self._ranks(ids[:-1], ids[1:])
+        rank[owner[:-1] != owner[1:]] = NONE
+        rank = np.append(rank, NONE)
+        while len(ids):
+            starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            best = np.minimum.reduceat(rank, starts)
+            sizes = np.diff(np.append(starts, len(ids)))
+            active = np.repeat(best != NONE, sizes)
+            if not active.all():
+                finished.append((owner[~active], ids[~active]))
+                ids, owner, rank, best, sizes = ids[active], owner[active], rank[active], best[best != NONE], sizes[best != NONE]
+                if not len(ids):
+                    break
+            hit = np.flatnonzero(rank == np.repeat(best, sizes))
+            # Of overlapping pairs (one token repeated) every second is merged.
+            run = np.append(True, np.diff(hit) > 1)
+            place = np.arange(len(hit)) - np.maximum.accumulate(np.where(run, np.arange(len(hit)), 0))
+            hit = hit[place % 2 == 0]
+            ids[hit] = rank[hit]
+            keep = np.ones(len(ids), bool)
+            keep[hit + 1] = False
+            # Only pairs beside a merged token have new ranks.
+            where = np.cumsum(keep) - 1
+            at = where[hit]
+            ids, owner, rank = ids[keep], owner[keep], rank[keep]
+            for i in (at, at[at > 0] - 1):
+                j = np.minimum(i + 1, len(ids) - 1)
+                rank[i] = np.where((j > i) & (owner[i] == owner[j]), self._ranks(ids[i], ids[j]), NONE)
+        if not finished:
+            return []
+        owner, ids = (np.concatenate(x) for x in zip(*finished))
+        order = np.argsort(owner, kind="stable")
+        ends = np.cumsum(np.bincount(owner, minlength=len(pieces)))
+        return [x.tolist() for x in np.split(ids[order], ends[:-1])]
+
+    def _long(self, piece: bytes) -> list[int]:
+        """One slice with a queue of its pairs, in n log n steps."""
+        ids = self.single[np.frombuffer(piece, np.uint8)].tolist()
+        n = len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        pairs = self.pairs
+        queue = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := pairs.get(ids[i] << 32 | ids[i + 1])) is not None]
+        heapq.heapify(queue)
+        while queue:
+            r, i, a, b = heapq.heappop(queue)
+            j = after[i] if ids[i] == a else n
+            if j >= n or ids[j] != b:
+                continue
+            ids[i], ids[j] = r, -1
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for x, y in ((before[i], i), (i, after[i])):
+                if x >= 0 and y < n and (q := pairs.get(ids[x] << 32 | ids[y])) is not None:
+                    heapq.heappush(queue, (q, x, ids[x], ids[y]))
+        return [t for t in ids if t >= 0]
+
+
+_merger = cache(Merger)
 
 
 class Encoder:
     """Encodes slabs of texts; keeps the ids of the slices it has met."""
 
     def __init__(self, path: str):
-        self.merge = _core(path)
+        self.merger = _merger(path)
         self._forget()
 
     def _forget(self) -> None:
         self.seen: dict[int, int] = {}
-        self.ids = np.zeros(1 << 16, np.int32)
-        self.at: list[int] = [0]
-
-    def _learn(self, key: int, piece: bytes) -> int:
-        ids = self.merge(piece)
-        end = self.at[-1] + len(ids)
-        while end > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.at[-1] : end] = ids
-        self.at.append(end)
-        self.seen[key] = len(self.at) - 2
-        return self.seen[key]
+        self.ids = np.zeros(0, np.int64)
+        self.at = np.zeros(1, np.int64)
+
+    def _learn(self, keys: list[int], pieces: list[bytes]) -> None:
+        ids, lengths = self.merger.merge(pieces)
+        known = len(self.at) - 1
+        self.seen.update(zip(keys, range(known, known + len(keys))))
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(lengths)])
+        self.ids = np.concatenate([self.ids, ids])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts end to end, ids per text, and the byte offset in its text at
-        which each id's slice starts."""
+        which each id's bytes start."""
         if len(self.seen) > CACHE:
             self._forget()
         slab = Slab(texts)
@@ -114,25 +221,23 @@ class Encoder:
         ends = np.append(starts[1:], len(slab.points))
         hashes = Slices(slab.points).hash(starts, ends)
         unique, example, back = np.unique(hashes, return_index=True, return_inverse=True)
-        row = np.empty(len(unique), np.int64)
         seen, joined = self.seen, slab.joined
-        for i, key in enumerate(unique.tolist()):
-            found = seen.get(key)
-            if found is None:
-                e = example[i]
-                found = self._learn(key, joined[starts[e] : ends[e]].encode("utf-8", "replace"))
-            row[i] = found
-        at = np.asarray(self.at)
-        piece = row[back]
+        keys = unique.tolist()
+        fresh = [i for i, key in enumerate(keys) if key not in seen]
+        if fresh:
+            self._learn([keys[i] for i in fresh], [joined[starts[e] : ends[e]].encode("utf-8", "replace") for e in example[fresh].tolist()])
+        piece = np.fromiter(map(seen.__getitem__, keys), np.int64, len(keys))[back]
+        at = self.at
         lengths = at[piece + 1] - at[piece]
         ids = self.ids[ragged(at[piece], lengths)]
         total = np.append(0, lengths.cumsum())
         per_text = np.diff(total[np.searchsorted(starts, slab.starts)])
-        width = 1 + (slab.points >= 0x80) + (slab.points >= 0x800) + (slab.points >= 0x10000)
-        bytes_at = np.append(0, np.cumsum(width))
-        text_of = np.searchsorted(slab.starts, starts, "right") - 1
-        offsets = np.repeat(bytes_at[starts] - bytes_at[slab.starts[text_of]], lengths)
-        return ids, per_text, offsets
+        # Slices cover their texts, so an id starts where the bytes before it end.
+        size = self.merger.size[ids]
+        before = np.cumsum(size) - size
+        text_first = np.cumsum(per_text) - per_text
+        first = np.repeat(before[np.minimum(text_first, max(len(ids) - 1, 0))] if len(ids) else text_first, per_text)
+        return ids.astype(np.int32), per_text, before - first
 
 
 def _slabs(texts: list[str | None]) -> Iterator[tuple[int, int]]:
@@ -156,8 +261,8 @@ def encode(
     offsets: bool = False,
 ) -> DataFrame:
     """Token ids of every row's whole text, without special tokens: ``key``, ``ids``
-    (array<int>) and, if wanted, ``offsets`` (the byte at which the slice of each id
-    starts in the UTF-8 text).
+    (array<int>) and, if wanted, ``offsets`` (the byte at which each id starts in the
+    UTF-8 text).
 
     NULL and empty texts give empty lists; rows are kept one for one, also repeated
     ones and those without a key. Columns other than the two named are ignored. A text

@@ -50,10 +50,28 @@ def test_encode_rows(spark):
 @needs_vocabulary
 def test_offsets_cut_the_text():
     text = "naïve  café 42 don't"
-    ids, _, at = Encoder(VOCABULARY).encode([text])
-    data = text.encode()
-    cuts = [*sorted(set(at.tolist())), len(data)]
-    assert [data[a:b].decode() for a, b in zip(cuts, cuts[1:])] == ["naïve", " ", " café", " 42", " don", "'t"]
+    other = "zwei"
+    ids, per_text, at = Encoder(VOCABULARY).encode([other, "", text])
+    assert per_text.tolist()[1] == 0 and at[0] == 0 and at[per_text[0]] == 0
+    tokens_of = {r: t for t, r in tokens.Merger(VOCABULARY).ranks.items()}
+    data, mine = text.encode(), slice(int(per_text[0]), None)
+    for i, a in zip(ids[mine].tolist(), at[mine].tolist()):
+        assert data[a : a + len(tokens_of[i])] == tokens_of[i]
+    assert b"".join(tokens_of[i] for i in ids[mine].tolist()) == data
+
+
+@needs_vocabulary
+def test_merging_equals_the_reference_library():
+    import tiktoken
+
+    merger = tokens.Merger(VOCABULARY)
+    whole = tiktoken.Encoding("own", pat_str=r"(?s).+", mergeable_ranks=merger.ranks, special_tokens={})
+    rng = random.Random(4)
+    pieces = ["aaaaaaa", "xx" * 400, "所述控制器根据权利要求连接到传感器" * 20, " unbelievable", "\n\n\n", "=" * 70]
+    pieces += ["".join(rng.choice("abcdeéя漢 0-") for _ in range(rng.randint(1, 90))) for _ in range(400)]
+    ids, lengths = merger.merge([p.encode() for p in pieces])
+    assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == [whole.encode_ordinary(p) for p in pieces]
+    assert all(merger._long(p.encode()) == whole.encode_ordinary(p) for p in pieces)
 
 
 WORDS = [f"w{i}" for i in range(400)]
