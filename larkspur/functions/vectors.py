@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -36,6 +37,21 @@ def negative_inner(a: Column, b: Column) -> Column:
     return -dot(a, b)
 
 
+def embedder(spark: SparkSession, embed: Callable[[list[str]], Sequence[Sequence[float]]], name: str = "ai_embed") -> None:
+    """Make a function of texts that SQL and ``F.call_function`` know as ``name``. ``embed`` gets
+    the texts of an Arrow batch, without NULLs, and gives a vector for each."""
+
+    @F.pandas_udf("array<float>")
+    def run(texts: pd.Series) -> pd.Series:
+        known = texts.dropna()
+        out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
+        if len(known):
+            out[known.index] = pd.Series([list(map(float, v)) for v in embed(known.tolist())], index=known.index, dtype=object)
+        return out
+
+    spark.udf.register(name, run)
+
+
 POINT = r"^\s*POINT\s*\(\s*(-?[0-9.eE+-]+)\s+(-?[0-9.eE+-]+)\s*\)\s*$"
 
 

@@ -100,6 +100,22 @@ def knn(df: DataFrame, vector: str, query: Sequence[float], k: int, key: str, me
     return ranked.orderBy("distance", key).limit(k)
 
 
+def with_hybrid(
+    df: DataFrame, columns: Sequence[str], query: str, vector: str, near: Sequence[float], name: str, base: int = 60
+) -> DataFrame:
+    """The rows with their reciprocal-rank fusion as a column: as ``hybrid``, for rows without
+    a key. Equal distances and equal numbers of terms go by the columns' texts."""
+    d = vectors.l2_squared(F.col(vector), vectors.literal(near))
+    scored = df.withColumns(
+        {"_d": F.when(F.size(vector) == len(near), d), "_t": match_score([F.col(c).cast("string") for c in columns], query)}
+    )
+    text = F.to_json(F.struct(*[F.col(c) for c in df.columns]))
+    one = numbered(scored, [F.col("_d").asc_nulls_last(), text], "_r")
+    two = numbered(one, [F.desc("_t"), text], "_s")
+    score = F.when(F.col("_d").isNotNull(), 1 / (base + F.col("_r"))).otherwise(0.0) + F.when(F.col("_t") > 0, 1 / (base + F.col("_s"))).otherwise(0.0)
+    return two.withColumn(name, score).drop("_d", "_t", "_r", "_s")
+
+
 def hybrid(
     df: DataFrame, key: str, columns: Sequence[str], query: str, vector: str, near: Sequence[float], base: int = 60
 ) -> DataFrame:

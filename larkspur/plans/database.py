@@ -471,6 +471,8 @@ class _Statement(Parser):
             self.need("AS")
             self.base.views[name.lower()] = self.rest()
             return Affected(0)
+        if self.take("FUNCTION"):
+            return self.function()
         if self.peek().word in ("INDEX", "UNIQUE", "FULLTEXT", "SPATIAL"):
             unique = self.take("UNIQUE")
             while not self.take("ON"):
@@ -508,6 +510,27 @@ class _Statement(Parser):
             return Affected(self.base.write(t, rows.toDF(*t.names).withColumn("_n", F.lit(1)), "_n"))
         return Affected(0)
 
+    def function(self) -> Affected:
+        """CREATE FUNCTION f(a INT, ...) RETURNS type ... RETURN expression: a function of the
+        session whose body Spark writes into the plan."""
+        name = self.name()
+        self.need("(")
+        given = []
+        while not self.take(")"):
+            column = self.name()
+            given.append((column, self.column_type()[0]))
+            self.take(",")
+        self.need("RETURNS")
+        kind = self.column_type()[0]
+        while not self.take("RETURN"):
+            if self.next().kind == "end" or self.peek().word == "BEGIN":
+                raise Unsupported("a function's body has to be RETURN and an expression")
+        self.scope = Scope([("", n, kind_of(k)) for n, k in given])
+        body = self.expression().sql
+        columns = ", ".join(f"{name_of(n)} {k.simpleString()}" for n, k in given)
+        self.base.spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name_of(name)}({columns}) RETURNS {kind.simpleString()} RETURN CAST({body} AS {kind.simpleString()})")
+        return Affected(0)
+
     def unique(self, t: Stored, columns: list[str]) -> None:
         known = self.base.key(t, columns)
         shared = self.base.frame(t.name).select(*[c.alias(f"_k{i}") for i, c in enumerate(known)]).dropna()

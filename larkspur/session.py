@@ -6,9 +6,12 @@ import hashlib
 import os
 import tempfile
 import zipfile
+from collections.abc import Iterator
+from itertools import islice
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Row, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -52,6 +55,20 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
 
 
+def cached(df: DataFrame) -> DataFrame:
+    """The rows kept in columns in the executors' memory, or on their disks where that is
+    full; a lost part is computed again. Free it with ``unpersist``."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def stream(df: DataFrame, batch: int = 1024) -> Iterator[list[Row]]:
+    """Rows in batches, one partition at a time: a result of any size passes through the
+    driver without being held there."""
+    rows = df.toLocalIterator(prefetchPartitions=True)
+    while some := list(islice(rows, batch)):
+        yield some
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder the cluster names in
     ``spark.checkpoint.dir``; a folder is only made up where that is unset."""

@@ -78,6 +78,28 @@ def test_joined_and_limited_changes(base, spark):
     assert base.run("TRUNCATE TABLE t").rows == 0 and rows(base, "SELECT COUNT(*) FROM t") == [(0,)]
 
 
+def test_functions_hooks_and_streams(base, spark):
+    from larkspur.functions import vectors
+    from larkspur.session import cached, stream
+
+    base.run("CREATE TABLE d (id INT PRIMARY KEY, body TEXT)")
+    base.run("INSERT INTO d VALUES (1, 'Privacy first'), (2, 'none'), (3, NULL)")
+    base.run("CREATE FUNCTION half(x INT) RETURNS DECIMAL(10,4) DETERMINISTIC RETURN x / 2")
+    assert rows(base, "SELECT half(id) FROM d WHERE id = 1") == [(Decimal("0.5000"),)]
+    vectors.embedder(spark, lambda texts: [[len(t), 0.0] for t in texts])
+    assert [r[1] for r in rows(base, "SELECT id, ai_embed(body) FROM d ORDER BY id")] == [[13.0, 0.0], [4.0, 0.0], None]
+    kept = cached(base.frame("d"))
+    assert [len(b) for b in stream(kept.repartition(2), 2)] == [2, 1]
+    kept.unpersist()
+
+
+def test_hybrid_in_sql(base, spark):
+    base.given["docs"] = spark.createDataFrame([(1, "Privacy law", [1.0, 0.0]), (2, "privacy", [0.0, 1.0]), (3, "other", [0.9, 0.0]), (4, None, None)], "id int, body string, v array<float>")
+    got = rows(base, "SELECT id, HYBRID(body, 'privacy', v, '[1, 0]') AS score FROM docs WHERE id < 9 ORDER BY score DESC, id LIMIT 3")
+    assert [i for i, _ in got] == [1, 2, 3]
+    assert [s for _, s in got] == pytest.approx([1 / 61 + 1 / 61, 1 / 63 + 1 / 62, 1 / 62])
+
+
 def test_definitions(base):
     base.run("CREATE TABLE a (id INT PRIMARY KEY, s VARCHAR(9) COLLATE utf8mb4_bin)")
     base.run("INSERT INTO a VALUES (1, 'x'), (2, 'X')")
