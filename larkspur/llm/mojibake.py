@@ -462,10 +462,14 @@ class Judge:
         flags = np.zeros(len(texts), bool)
         if not len(high):
             return flags
-        stop = np.flatnonzero((p == 32) | (p == 10) | (p == 13) | (p == 9))
-        bounds = np.unique(np.concatenate([stop, stop + 1, slab.starts]))
+        edge = np.zeros(len(p) + 2, bool)
+        blank = (p == 32) | (p == 10) | (p == 13) | (p == 9)
+        edge[: len(p)] = blank
+        edge[1 : len(p) + 1] |= blank
+        edge[slab.starts] = True
+        bounds = np.flatnonzero(edge)
         at = np.searchsorted(bounds, high, "right") - 1
-        at = np.unique(at)
+        at = at[np.append(True, at[1:] != at[:-1])]
         start = bounds[at]
         end = np.append(bounds, len(p))[at + 1]
         pieces = -(-(end - start) // PIECE)
