@@ -66,9 +66,9 @@ SQL: dict[str, tuple[str, str | None]] = {
     ),
     # windows
     "window_ranks": (
-        "SELECT c_custkey, row_number() OVER w AS rn, rank() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS r, "
-        "dense_rank() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS d, ntile(4) OVER w AS q "
-        "FROM {customer} WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey)",
+        "SELECT o_orderkey, row_number() OVER w AS rn, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS r, "
+        "dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS d, ntile(4) OVER w AS q "
+        "FROM {orders} WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey)",
         None,
     ),
     "window_lag_lead": (

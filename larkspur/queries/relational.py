@@ -164,7 +164,8 @@ SQL: dict[str, tuple[str, str | None]] = {
     ),
     "order_hidden_expression": ("SELECT o_orderkey FROM {orders} ORDER BY o_totalprice * 2 DESC, o_orderkey LIMIT 5", None),
     "order_ordinal_alias": ("SELECT o_custkey, o_totalprice / 2 AS half FROM {orders} ORDER BY 2, half, o_custkey LIMIT 7", None),
-    "order_text_topn": ("SELECT c_name, c_custkey FROM {customer} ORDER BY c_name DESC, c_custkey LIMIT 100", None),
+    "order_text_topn": ("SELECT o_orderpriority, o_orderkey FROM {orders} ORDER BY o_orderpriority DESC, o_orderkey LIMIT 100", None),
+    "order_all": ("SELECT l_orderkey, l_linenumber, l_extendedprice FROM {lineitem} ORDER BY l_extendedprice, l_orderkey, l_linenumber", None),
     "distinct_rows": ("SELECT DISTINCT o_orderstatus, o_orderpriority FROM {orders}", None),
     "distinct_ci": ("SELECT DISTINCT lower(status) AS status FROM {shop_orders}", None),
     "distinct_limit": ("SELECT DISTINCT p_brand FROM {part} ORDER BY p_brand LIMIT 3", None),
