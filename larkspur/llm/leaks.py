@@ -426,7 +426,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, renamed: bool = False) ->
                 texts.append(words.text(0, n))
                 kinds.append(slots(words, names.value).astype(np.int32))
                 need.append(needed(gram))
-                grams.append(np.unique(gram))
+                grams.append(gram)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -443,7 +443,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, renamed: bool = False) ->
     prepared = items.select("item_id", "text").mapInArrow(
         item_windows, f"item_id {kind}, item_words string, kinds array<int>, need int, width int, grams array<long>"
     )
-    by_item = prepared.select("item_id", "need", F.explode("grams").alias("gram"))
+    by_item = prepared.select("item_id", "need", F.posexplode("grams").alias("at", "gram"))
     widths = tuple(sorted(r[0] for r in prepared.where("width > 0").select("width").distinct().collect()))
     bits = spark.sparkContext.broadcast(_filter(by_item, "gram"))
     easy = spark.sparkContext.broadcast(_filter(by_item.where(F.col("need") < SHARED), "gram"))
@@ -463,8 +463,14 @@ def find_leaks(documents: DataFrame, items: DataFrame, renamed: bool = False) ->
         each.select(*place, F.explode("grams").alias("gram"))
         .join(by_item, "gram")
         .groupBy(*place, "item_id", "need")
-        .agg(F.count(F.lit(1)).alias("shared"))
-        .where(F.col("shared") >= F.col("need"))
+        .agg(F.sort_array(F.collect_set("at")).alias("met"))
+        # So many windows within one passage of the item, not here and there.
+        .where(
+            F.exists(
+                F.sequence(F.lit(0), F.greatest(F.size("met") - F.col("need"), F.lit(0))),
+                lambda i: F.get("met", i + F.col("need") - 1) - F.get("met", i) <= PASSAGE - WINDOW,
+            )
+        )
         .select(*place, "item_id")
         .join(prepared.select("item_id", "item_words", "kinds"), "item_id")
         .join(each.select(*place, "words"), place)

@@ -17,6 +17,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -270,8 +271,12 @@ def encode(
     the table is read in fewer pieces than there are cores.
     """
 
+    # The file goes to the executors, which need not have it at that place.
+    df.sparkSession.sparkContext.addFile(vocabulary)
+    name = Path(vocabulary).name
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        encoder = Encoder(SparkFiles.get(name))
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1).to_pylist()
             for lo, hi in _slabs(texts):
