@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,10 @@ def using(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner"
     return left.join(right, keys, how)
 
 
+#: Buckets that a range is cut into at most before wider ones are taken.
+SPAN = 64
+
+
 def band(
     left: DataFrame, right: DataFrame, point: str, low: str, high: str, width: float, how: str = "inner"
 ) -> DataFrame:
@@ -37,15 +43,32 @@ def band(
 
     Ranges are cut into buckets of ``width``; a point meets only the ranges of its own
     bucket, so there is no nested loop. Choose the width near the usual length of a
-    range. NULL bounds match nothing. ``how``: inner, left_semi, left_anti.
+    range: ranges of more than SPAN buckets take buckets SPAN times as wide (and so on),
+    each width in a join of its own, so that none becomes many rows. Which widths there
+    are is asked first. NULL bounds match nothing. ``how``: inner, left_semi, left_anti.
     """
-    points = left.withColumn("_b", F.floor(F.col(point) / width))
-    ranges = right.where(F.col(low) <= F.col(high)).withColumn(
-        "_b", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width)))
-    )
-    r = ranges.withColumnRenamed("_b", "_rb")
-    on = (F.col("_b") == F.col("_rb")) & (F.col(point) >= F.col(low)) & (F.col(point) <= F.col(high))
-    return points.join(r, on, how).drop("_b", "_rb")
+    if how not in ("inner", "left_semi", "left_anti"):
+        raise ValueError(how)
+    length = (F.col(high) - F.col(low)).cast("double") / width
+    level = F.greatest(F.ceil(F.log(F.greatest(length, F.lit(1.0))) / F.log(F.lit(float(SPAN)))) - 1, F.lit(0)).cast("int")
+    ranges = right.where(F.col(low) <= F.col(high)).withColumn("_l", level)
+    levels = sorted(r[0] for r in ranges.select("_l").distinct().collect())
+
+    def joined(rows: DataFrame, level: int, kind: str) -> DataFrame:
+        wide = width * SPAN**level
+        cut = F.explode(F.sequence(F.floor(F.col(low) / wide), F.floor(F.col(high) / wide)))
+        r = ranges.where(F.col("_l") == level).withColumn("_rb", cut).drop("_l")
+        on = (F.col("_b") == F.col("_rb")) & (F.col(point) >= F.col(low)) & (F.col(point) <= F.col(high))
+        return rows.withColumn("_b", F.floor(F.col(point) / wide)).join(r, on, kind).drop("_b", "_rb")
+
+    if how == "inner":
+        parts = [joined(left, n, how) for n in levels] or [left.join(right, F.lit(False))]
+        return reduce(DataFrame.unionAll, parts)
+    rest, found = left, []
+    for n in levels:
+        found.append(joined(rest, n, "left_semi"))
+        rest = joined(rest, n, "left_anti")
+    return rest if how == "left_anti" else reduce(DataFrame.unionAll, found or [left.where(F.lit(False))])
 
 
 def salted(left: DataFrame, right: DataFrame, key: str, salts: int = 16, how: str = "inner") -> DataFrame:

@@ -19,34 +19,29 @@ def rows(base, sql):
     return [tuple(r) for r in base.run(sql).collect()]
 
 
+UPSERT = "ON DUPLICATE KEY UPDATE amount = VALUES(amount)"
+#: What each statement in turn says it changed: 1 for a new row, 2 for one that an insert
+#: updated or replaced, 0 for one that was so already.
 CHANGES = [
-    ("INSERT INTO ar VALUES (1,10) ON DUPLICATE KEY UPDATE n=VALUES(n)", 1),
-    ("INSERT INTO ar VALUES (1,20) ON DUPLICATE KEY UPDATE n=VALUES(n)", 2),
-    ("INSERT INTO ar VALUES (1,20) ON DUPLICATE KEY UPDATE n=VALUES(n)", 0),
-    ("INSERT INTO ar VALUES (1,30),(2,40) ON DUPLICATE KEY UPDATE n=VALUES(n)", 3),
-    ("INSERT INTO ar VALUES (5,1),(5,2) ON DUPLICATE KEY UPDATE n=VALUES(n)", 3),
-    ("INSERT INTO ar VALUES (7,1),(7,1) ON DUPLICATE KEY UPDATE n=VALUES(n)", 1),
-    ("REPLACE INTO ar VALUES (3,50)", 1),
-    ("REPLACE INTO ar VALUES (3,60)", 2),
-    ("REPLACE INTO ar VALUES (3,60)", 1),
-    ("INSERT IGNORE INTO ar VALUES (1,99)", 0),
-    ("INSERT INTO ar VALUES (4,70)", 1),
-    ("INSERT INTO ar VALUES (10,1),(11,2),(12,3)", 3),
-    ("UPDATE ar SET n=71 WHERE id=4", 1),
-    ("UPDATE ar SET n=71 WHERE id=4", 0),
-    ("UPDATE ar SET n=n+1 WHERE id IN (10,11,12)", 3),
-    ("UPDATE ar SET n=1 WHERE id=999", 0),
-    ("DELETE FROM ar WHERE id=12", 1),
-    ("DELETE FROM ar WHERE id=999", 0),
+    (f"INSERT INTO stock VALUES ('bolt', 5), ('nut', 6) {UPSERT}", 2),
+    (f"INSERT INTO stock VALUES ('bolt', 8), ('nut', 6), ('pin', 1) {UPSERT}", 3),
+    (f"INSERT INTO stock VALUES ('rod', 2), ('Rod', 3), ('rod', 3) {UPSERT}", 3),
+    ("INSERT INTO stock VALUES ('bolt', 9), ('cap', 0) ON DUPLICATE KEY UPDATE amount = stock.amount + 10 * VALUES(amount)", 3),
+    ("REPLACE INTO stock VALUES ('nut', 6), ('pin', 4), ('key', 7)", 4),
+    ("INSERT IGNORE INTO stock VALUES ('key', 70), ('cam', 1), ('cam', 2)", 1),
+    ("UPDATE stock SET amount = 4 WHERE amount <= 4", 3),
+    ("UPDATE stock SET amount = amount - 1 WHERE item = 'none' OR amount > 90", 1),
+    ("DELETE FROM stock WHERE amount = 4 AND item <> 'PIN'", 3),
+    ("DELETE FROM stock WHERE amount < 0", 0),
 ]
 
 
 def test_changed_rows(base):
-    base.run("CREATE TABLE ar (id INT PRIMARY KEY, n INT)")
+    base.run("CREATE TABLE stock (item VARCHAR(8) PRIMARY KEY, amount INT)")
     assert [base.run(sql).rows for sql, _ in CHANGES] == [n for _, n in CHANGES]
-    assert rows(base, "SELECT id, n FROM ar ORDER BY id") == [(1, 30), (2, 40), (3, 60), (4, 71), (5, 2), (7, 1), (10, 2), (11, 3)]
+    assert rows(base, "SELECT item, amount FROM stock ORDER BY item") == [("bolt", 97), ("key", 7), ("nut", 6), ("pin", 4)]
     with pytest.raises(ConstraintError):
-        base.run("INSERT INTO ar VALUES (1, 5)")
+        base.run("INSERT INTO stock VALUES ('Pin', 5)")
 
 
 def test_keys_defaults_and_checks(base):

@@ -115,6 +115,12 @@ def test_joins(spark):
     right = spark.createDataFrame([(1, 1.0, 2.0), (2, 1.5, 1.5), (3, None, 5.0), (4, 5.0, 1.0)], "r int, lo double, hi double")
     assert sorted((x.id, x.r) for x in joins.band(left, right, "p", "lo", "hi", 0.5).collect()) == [(1, 1), (1, 2)]
     assert sorted(x.id for x in joins.band(left, right, "p", "lo", "hi", 0.5, "left_anti").collect()) == [2, 3]
+    far = spark.createDataFrame([(1, 0.0, 1e9), (2, 8.5, 9.5)], "r int, lo double, hi double")
+    assert sorted((x.id, x.r) for x in joins.band(left, far, "p", "lo", "hi", 0.5).collect()) == [(1, 1), (3, 1), (3, 2)]
+    assert sorted(x.id for x in joins.band(left, far, "p", "lo", "hi", 0.5, "left_semi").collect()) == [1, 3]
+    assert [x.id for x in joins.band(left, far, "p", "lo", "hi", 0.5, "left_anti").collect()] == [2]
+    assert joins.band(left, far.where("r > 9"), "p", "lo", "hi", 0.5).count() == 0
+    assert joins.broadcast_if_small(far).count() == 2 and joins.broadcast_if_small(spark.range(9), 1).count() == 9
     hot = spark.createDataFrame([(1, i) for i in range(50)] + [(None, 0)], "k int, v int")
     assert joins.salted(hot, spark.createDataFrame([(1, "a"), (None, "n")], "k int, w string"), "k").count() == 50
     assert joins.natural(left, right.withColumnRenamed("r", "ID")).count() == 3
@@ -204,6 +210,23 @@ def test_head_lines_of_many_files(spark, tmp_path):
     assert sorted(tuple(r) for r in df.collect()) == sorted((i, t) for i in range(16) for t in "ab")
 
 
+def test_sorted_tables_skip_row_groups(spark, tmp_path):
+    """CTAS in the order of a column leaves row groups of disjoint ranges, which a pushed
+    filter skips."""
+    import pyarrow.parquet as pq
+
+    spark.conf.set("parquet.block.size", str(1 << 14))
+    try:
+        place = files.create_table_as(spark.range(0, 60000, 1, 1).selectExpr("(id * 7919) % 60000 AS k", "uuid() AS t"), str(tmp_path / "t"), order=["k"])
+    finally:
+        spark.conf.unset("parquet.block.size")
+    meta = pq.ParquetFile(next((tmp_path / "t").glob("*.parquet"))).metadata
+    ranges = [(s.min, s.max) for s in (meta.row_group(i).column(0).statistics for i in range(meta.num_row_groups))]
+    assert all(a[1] <= b[0] for a, b in zip(ranges, ranges[1:]))
+    found = files.point_lookup(spark.read.parquet(place), k=77)
+    assert "EqualTo(k,77)" in found._jdf.queryExecution().executedPlan().toString() and found.count() == 1
+
+
 def test_numbers_without_one_task(spark):
     df = spark.range(1000).selectExpr("id", "id * 7919 % 1000 AS v")
     out = W.numbered(df, [F.col("v").desc()], "n")
