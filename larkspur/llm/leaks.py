@@ -444,9 +444,12 @@ def find_leaks(documents: DataFrame, items: DataFrame, renamed: bool = False) ->
         item_windows, f"item_id {kind}, item_words string, kinds array<int>, need int, width int, grams array<long>"
     )
     by_item = prepared.select("item_id", "need", F.posexplode("grams").alias("at", "gram"))
-    widths = tuple(sorted(r[0] for r in prepared.where("width > 0").select("width").distinct().collect()))
+    asked = prepared.where("width > 0").select("width", "need").distinct().collect()  # at most WINDOW x SHARED rows
+    widths = tuple(sorted({r[0] for r in asked}))
     bits = spark.sparkContext.broadcast(_filter(by_item, "gram"))
-    easy = spark.sparkContext.broadcast(_filter(by_item.where(F.col("need") < SHARED), "gram"))
+    few = any(r[1] < SHARED for r in asked)
+    nothing = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    easy = spark.sparkContext.broadcast(_filter(by_item.where(F.col("need") < SHARED), "gram") if few else nothing)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _scan(names.value, bits.value, easy.value, widths)(batches)
